@@ -108,15 +108,17 @@ def slices(text: str, limit: int = 1 << 20):
 
 
 @functools.lru_cache(maxsize=1)
-def _newer():
-    """The characters that the regex module may know as letters or digits while an
-    older Unicode table does not: those unassigned in Python's own table."""
-    found = regex.findall(r"[\p{L}\p{N}]", "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn"))
-    return regex.compile("[" + "".join(found) + "]") if found else regex.compile(r"(?!)")
+def _newer() -> np.ndarray:
+    """By code point: whether the regex module may know it as a letter or digit while
+    an older Unicode table does not, being unassigned in Python's own table."""
+    unassigned = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
+    out = np.zeros(0x110000, bool)
+    out[[ord(c) for c in regex.findall(r"[\p{L}\p{N}]", unassigned)]] = True
+    return out
 
 
 def _split(text: str) -> list[str]:
-    if text.isascii() or not _newer().search(text):
+    if text.isascii() or not _newer()[np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")].any():
         return PRETOKEN.findall(text)
     return [text[a:b] for _, (a, b) in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
 
