@@ -138,8 +138,9 @@ class PretokenTable:
     runs on the new pre-tokens of a batch at once; the table starts anew when it
     holds `capacity` of them (results do not change, only memory is bounded)."""
 
-    def __init__(self, solve, specials: dict[str, int], capacity: int = 400_000):
+    def __init__(self, solve, specials: dict[str, int], split=None, capacity: int = 400_000):
         self.solve, self.specials, self.capacity = solve, specials, capacity
+        self.split = split or (lambda text: pretokens(text, specials))
         self.clear()
 
     def clear(self) -> None:
@@ -152,7 +153,7 @@ class PretokenTable:
         flat[start[row]:start[row + 1]]."""
         if len(self.row) > self.capacity:
             self.clear()
-        split = [pretokens(t, self.specials) for t in texts]
+        split = [self.split(t) for t in texts]
         new = list(set().union(*split).difference(self.row))
         if new:
             plain = [x for x in new if x not in self.specials]

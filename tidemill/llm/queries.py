@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from tidemill.llm import exact_dedup
 from tidemill.llm.bpe_codec import op2_bpe_roundtrip
+from tidemill.llm.exact_dedup import op3_exact_dedup
+from tidemill.llm.packing import op10_pack_binary
+from tidemill.llm.quality import op4_quality
 from tidemill.llm.token_count import op1_token_counts
+from tidemill.llm.url_filter import op8_url_filter
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_quality": op4_quality,
+    "op8_url_filter": op8_url_filter,
+    "op10_pack_binary": op10_pack_binary,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE}
