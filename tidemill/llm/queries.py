@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemill.llm import exact_dedup
 from tidemill.llm.bpe_codec import op2_bpe_roundtrip
 from tidemill.llm.exact_dedup import op3_exact_dedup
+from tidemill.llm.language_crf import op6_language_crf
 from tidemill.llm.packing import op10_pack_binary
 from tidemill.llm.quality import op4_quality
 from tidemill.llm.token_count import op1_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
+    "op6_language_crf": op6_language_crf,
     "op8_url_filter": op8_url_filter,
     "op10_pack_binary": op10_pack_binary,
 }
