@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemill.llm import exact_dedup
 from tidemill.llm.bpe_codec import op2_bpe_roundtrip
+from tidemill.llm.embedding_dedup import op7_embedding_dedup
 from tidemill.llm.exact_dedup import op3_exact_dedup
 from tidemill.llm.language_crf import op6_language_crf
 from tidemill.llm.packing import op10_pack_binary
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
     "op6_language_crf": op6_language_crf,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_url_filter": op8_url_filter,
     "op10_pack_binary": op10_pack_binary,
 }
