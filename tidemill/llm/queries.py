@@ -7,6 +7,7 @@ from tidemill.llm.bpe_codec import op2_bpe_roundtrip
 from tidemill.llm.embedding_dedup import op7_embedding_dedup
 from tidemill.llm.exact_dedup import op3_exact_dedup
 from tidemill.llm.language_crf import op6_language_crf
+from tidemill.llm.minhash_dedup import op5_minhash_dedup
 from tidemill.llm.packing import op10_pack_binary
 from tidemill.llm.quality import op4_quality
 from tidemill.llm.token_count import op1_token_counts
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality": op4_quality,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_language_crf": op6_language_crf,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_url_filter": op8_url_filter,
