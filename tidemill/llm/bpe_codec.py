@@ -130,8 +130,8 @@ class Encoder:
             i, j = i + (x_ends <= y_ends), j + (y_ends <= x_ends)
         return True
 
-    def solve(self, words: list[bytes]):
-        found = [self.encode(w) for w in words]
+    def solve(self, words: list[str]):
+        found = [self.encode(w.encode("utf-8", "replace")) for w in words]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return lengths, np.fromiter((i for f in found for i in f), np.uint32, int(lengths.sum()))
 

@@ -7,6 +7,7 @@ rebuilds that alphabet from its rule. Ids of merged tokens follow merge order.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import unicodedata
 from dataclasses import dataclass
@@ -154,19 +155,27 @@ class PretokenTable:
         if len(self.row) > self.capacity:
             self.clear()
         split = [self.split(t) for t in texts]
-        new = list(set().union(*split).difference(self.row))
+        get, none = self.row.get, itertools.repeat(-1)
+        out = [np.fromiter(map(get, s, none), np.int64, len(s)) for s in split]
+        open_at = [np.flatnonzero(r < 0) for r in out]
+        new = list({s[k] for s, at in zip(split, open_at, strict=True) for k in at.tolist()})
         if new:
-            plain = [x for x in new if x not in self.specials]
-            marks = [x for x in new if x in self.specials]
-            lengths, flat = self.solve([x.encode("utf-8", "replace") for x in plain])
-            lengths = np.concatenate([lengths, np.ones(len(marks), np.int64)])
-            flat = np.concatenate([flat, np.array([self.specials[x] for x in marks], np.uint32)])
-            at = len(self.row)
-            self.row.update(zip(plain + marks, range(at, at + len(new)), strict=True))
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
-            self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
-        get = self.row.__getitem__
-        return [np.fromiter(map(get, s), np.int64, len(s)) for s in split]
+            self._add(new)
+            row = self.row
+            for s, r, at in zip(split, out, open_at, strict=True):
+                r[at] = [row[s[k]] for k in at.tolist()]
+        return out
+
+    def _add(self, new: list[str]) -> None:
+        plain = [x for x in new if x not in self.specials]
+        marks = [x for x in new if x in self.specials]
+        lengths, flat = self.solve(plain)
+        lengths = np.concatenate([lengths, np.ones(len(marks), np.int64)])
+        flat = np.concatenate([flat, np.array([self.specials[x] for x in marks], np.uint32)])
+        at = len(self.row)
+        self.row.update(zip(plain + marks, range(at, at + len(new)), strict=True))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
+        self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])
 
     def gather(self, rows: np.ndarray) -> np.ndarray:
         """The ids of these rows, one after the other."""

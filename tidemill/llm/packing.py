@@ -24,42 +24,69 @@ from tidemill.llm.common import by_bytes, documents, id_and_text, prepare
 
 END_ID = 2
 CAP = 4096
-_SEPARATORS = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the vocabulary doesn't
-_WORD = re.compile("[^\\t-\\r \x85\xa0  -     　]+")
-
-
-def words(text: str) -> list[str]:
-    """Runs without white space. The vocabulary drops white space and none of its
-    steps looks across it, so runs are encoded independently."""
-    return _WORD.findall(text) if _SEPARATORS.search(text) else text.split()
+_WORD = re.compile("[^\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+# The vocabulary's split of lower-cased text, for Latin-1 texts.
+_LATIN = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[{_DIGITS}]|[^\\t-\\r \x85\xa0{_LATIN}{_DIGITS}]+")
+_BEYOND = re.compile("[^\x00-\xff]")
+
+
+class Tokenization:
+    """The library's ids of whole texts, looked up by pre-token.
+
+    The vocabulary drops white space and none of its steps looks across it. A Latin-1
+    text (nothing to normalise but its case) is split into pre-tokens here; new ones
+    are encoded by the library in one string, where each ends with the only token
+    that carries the end-of-word mark. Any other text is encoded by the library word
+    by word, with what normalisation and splitting it does.
+    """
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.latin = PretokenTable(self._joined, {}, lambda text: _PRETOKEN.findall(text.lower()), 500_000)
+        self.other = PretokenTable(self._single, {}, _WORD.findall, 200_000)
+
+    def _single(self, words: list[str]):
+        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return lengths, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
 
-@functools.lru_cache(maxsize=2)
-def _table(path: str) -> PretokenTable:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    def _joined(self, words: list[str]):
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words):
+            return self._single(words)
+        return np.diff(last, prepend=-1), ids
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    def ids(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """For each text the ids of its slices."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        pieces = [(k, s) for k, t in enumerate(texts) for s in slices(t)]
+        plain = [not _BEYOND.search(s) and not any(m in s for m in self.marks) for _, s in pieces]
+        for table, wanted in ((self.latin, True), (self.other, False)):
+            mine = [p for p, is_plain in zip(pieces, plain, strict=True) if is_plain == wanted]
+            for (k, _), rows in zip(mine, table.rows([s for _, s in mine]), strict=True):
+                out[k].append(table.gather(rows))
+        return out
 
-    def solve(new: list[bytes]):
-        ids = [e.ids for e in tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return lengths, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
 
-    return PretokenTable(solve, {}, words)
+tokenization = functools.lru_cache(maxsize=2)(Tokenization)
 
 
 def token_ids(texts: list[str], path: str, end_id: int = END_ID) -> list[np.ndarray]:
     """The ids of each whole text, with the end id."""
-    table = _table(path)
     end = np.array([end_id], np.uint32)
-    pieces = [(k, s) for k, t in enumerate(texts) for s in slices(t)]
-    out: list[list[np.ndarray]] = [[] for _ in texts]
-    for (k, _), rows in zip(pieces, table.rows([s for _, s in pieces]), strict=True):
-        out[k].append(table.gather(rows))
-    return [np.concatenate([*x, end]) for x in out]
+    return [np.concatenate([*x, end]) for x in tokenization(path).ids(texts)]
 
 
 def piece_lengths(n: int, cap: int = CAP) -> list[int]:

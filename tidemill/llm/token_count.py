@@ -81,9 +81,10 @@ def merge_all(vocab: Vocabulary, words: list[bytes]) -> np.ndarray:
 def _table(path: str) -> PretokenTable:
     vocab = vocabulary(path)
 
-    def solve(words: list[bytes]):
+    def solve(words: list[str]):
         # counts only: one number per pre-token, kept where the ids would be
-        return np.ones(len(words), np.int64), merge_all(vocab, words).astype(np.uint32)
+        counts = merge_all(vocab, [w.encode("utf-8", "replace") for w in words])
+        return np.ones(len(words), np.int64), counts.astype(np.uint32)
 
     return PretokenTable(solve, vocab.specials)
 
