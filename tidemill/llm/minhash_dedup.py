@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import by_bytes, documents, id_and_text, join_by_group, materialize, prepare
 from tidemill.llm.components import connected_components
+from tidemill.llm.polyhash import ODD, mix, prefix_hashes, span_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -31,29 +32,6 @@ SMALL_BUCKET = 12  # buckets up to this size are compared pair by pair
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0x5851F42D4C957F2D)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the base and of its inverse modulo 2**64, at least n of them."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        _powers = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, _INVERSE))
-    return _powers
 
 
 def cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,9 +50,7 @@ def cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[0::2], edge[1::2]
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = powers(len(raw) + 1)
-    prefix = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
-    word = _mix((prefix[end] - prefix[start]) * down[start])
+    word = mix(span_hashes(prefix_hashes(raw), start, end))
     text = np.searchsorted(np.cumsum([len(d) for d in data]), start, side="right")
     n = len(word)
     shingle, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -82,7 +58,7 @@ def cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = text[WORDS - 1 :] == text[: n - WORDS + 1]
         h = np.zeros(n - WORDS + 1, np.uint64)
         for k in range(WORDS):
-            h = _mix(h * _ODD + word[k : n - WORDS + 1 + k])
+            h = mix(h * ODD + word[k : n - WORDS + 1 + k])
         shingle, owner = h[whole], text[: n - WORDS + 1][whole]
     count = np.bincount(text, minlength=len(texts))
     first = np.cumsum(count) - count
@@ -91,14 +67,14 @@ def cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = np.full(len(short), 1, np.uint64)
         for k in range(WORDS - 1):
             has = count[short] > k
-            h[has] = _mix(h[has] * _ODD + word[first[short[has]] + k])
+            h[has] = mix(h[has] * ODD + word[first[short[has]] + k])
         shingle, owner = np.concatenate([shingle, h]), np.concatenate([owner, short])
     order = np.lexsort((shingle, owner))
     shingle, owner = shingle[order], owner[order]
     new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])])
     at = np.arange(len(shingle))
     nth = at - np.maximum.accumulate(np.where(new, at, 0))
-    return owner, _mix(shingle + nth.astype(np.uint64) * _ODD)
+    return owner, mix(shingle + nth.astype(np.uint64) * ODD)
 
 
 def signatures(owner: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
@@ -115,12 +91,12 @@ def signatures(owner: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
         darts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(who):
             # waiting times between a cell's darts are exponential
-            salt = [np.uint64(k * int(_ODD) % 2**64) for k in (2 * throw + 1, 2 * throw + 2)]
-            h = _mix(seed + salt[0])
+            salt = [np.uint64(k * int(ODD) % 2**64) for k in (2 * throw + 1, 2 * throw + 2)]
+            h = mix(seed + salt[0])
             u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
             near = u > np.exp(time - limit)
             who, seed, limit, time = who[near], seed[near], limit[near], time[near] - np.log(u[near])
-            mark = _mix(seed ^ salt[1])
+            mark = mix(seed ^ salt[1])
             darts.append((who * K + (mark % np.uint64(K)).astype(np.int64), time, mark))
             throw += 1
         slot, when, mark = (np.concatenate(x) for x in zip(*darts, strict=True))
@@ -141,7 +117,7 @@ def _digests(owner: np.ndarray, cell: np.ndarray, n: int) -> list[bytes]:
         total = np.zeros(n, np.uint64)
         if len(owner):
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            total[owner[first]] = np.add.reduceat(_mix(cell * _ODD + salt), first)
+            total[owner[first]] = np.add.reduceat(mix(cell * ODD + salt), first)
         sums.append(total)
     return [x.tobytes() for x in np.column_stack(sums)]
 
@@ -158,7 +134,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 s = signatures(owner, cell, n).reshape(n * BANDS, ROWS)
                 key = np.zeros(n * BANDS, np.uint64)
                 for k in range(ROWS):
-                    key = _mix(key * _ODD + s[:, k])
+                    key = mix(key * ODD + s[:, k])
                 weight = np.bincount(owner, minlength=n)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(key.view(np.int64)))
                 out = pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(weight, pa.int64()), pa.array(_digests(owner, cell, n), pa.binary()), bands], ["doc_id", "weight", "digest", "bands"])

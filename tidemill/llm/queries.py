@@ -10,6 +10,7 @@ from tidemill.llm.language_crf import op6_language_crf
 from tidemill.llm.minhash_dedup import op5_minhash_dedup
 from tidemill.llm.packing import op10_pack_binary
 from tidemill.llm.quality import op4_quality
+from tidemill.llm.suffix_dedup import op9_suffix_dedup
 from tidemill.llm.token_count import op1_token_counts
 from tidemill.llm.url_filter import op8_url_filter
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_language_crf": op6_language_crf,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_url_filter": op8_url_filter,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_pack_binary": op10_pack_binary,
 }
 
