@@ -62,6 +62,15 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def hash_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most `most` rows of df, chosen by a hash of the keys. A count sets a threshold
+    first, so that about twice as many rows reach the final sort however long df is."""
+    n, h = df.count(), F.xxhash64(*keys)
+    if n > 2 * most:
+        df = df.filter(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * most / n))
+    return df.orderBy(h, *keys).limit(most)
+
+
 def by_bytes(texts, limit: int = 4 << 20):
     """Index ranges of consecutive texts with about `limit` characters each, so
     that temporary arrays stay small however long the texts are."""

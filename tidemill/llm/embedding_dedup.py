@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import join_by_group, materialize, prepare
+from tidemill.llm.common import hash_sample, join_by_group, materialize, prepare
 from tidemill.llm.components import connected_components, forest
 
 BLOCK = 1024  # vectors of one bucket that are compared at once
@@ -138,7 +138,7 @@ def _links(spark: SparkSession, classes: DataFrame, threshold: float, sample_row
     busiest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     models = {}
     for dim in dims:  # an embedding table has one dimension; strays get codes of their own
-        found = classes.filter(F.col("dim") == dim).select("unit", F.xxhash64("class_id").alias("h"), "class_id").orderBy("h", "class_id").limit(sample_rows).select("unit").toArrow()
+        found = hash_sample(classes.filter(F.col("dim") == dim).select("class_id", "unit"), ["class_id"], sample_rows).select("unit").toArrow()
         sample = np.stack([np.frombuffer(u.as_py(), np.float64) for u in found["unit"]])
         width, per, rotations = table_plan(busiest, min(64, dim), threshold, miss)
         models[dim] = (sample.mean(0), learn_rotations(sample, rotations), width, per)

@@ -228,9 +228,12 @@ def fit(docs: DataFrame, per_language: int = 150, max_languages: int = 64) -> Cr
     frequent languages, outside the held-out fold, those with the smallest hash of
     the id: the documented bound of what reaches the driver."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(3, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
+    top = known.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(max_languages)
+    # about twice as many as wanted pass the hash threshold of their language
+    near = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(float(2 * per_language << 40)) / F.col("docs")
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.join(F.broadcast(top), "lang").withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= per_language).select("doc_id", "lang").distinct()
+    near_rows = known.join(F.broadcast(top), "lang").filter(near).select("doc_id", "lang").distinct()
+    chosen = near_rows.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= per_language).select("doc_id", "lang")
     texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id").toArrow()
     rows = sorted(zip(texts["doc_id"].to_pylist(), texts["lang"].to_pylist(), texts["text"].to_pylist(), strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
     return train([r[2] for r in rows], [r[1] for r in rows])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import documents, id_and_text, prepare
+from tidemill.llm.common import documents, hash_sample, id_and_text, prepare
 
 BITS = 18
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -100,11 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> np.ndarray:
     """Train on at most max_rows labelled documents outside the held-out fold, those
     with the smallest hash of the id; a document labelled twice counts once with its
     larger label. The bound is what makes fitting on the driver safe."""
-    chosen = (
-        labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(5, 0))
-        .groupBy("doc_id").agg(F.max("quality").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    )
+    labelled = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(5, 0)).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    chosen = hash_sample(labelled, ["doc_id"], max_rows)
     texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
