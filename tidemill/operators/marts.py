@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.exprs import exact_sum
 from tidemill.operators.joins import enrich, keyed_join
 from tidemill.operators.keyed import with_ranks
-from tidemill.sources.tables import read_table, replace_window
+from tidemill.sources.tables import replace_window
 
 COMPLETE = "COMPLETE"
 
@@ -43,8 +43,7 @@ def in_window(orders: DataFrame, start: str, end: str, column: str = "order_date
 def rebuild_daily_revenue(items: DataFrame, orders: DataFrame, products: DataFrame, path: str, start: str, end: str, **keys) -> DataFrame:
     """Rebuild the mart for start..end in place; running it again changes nothing."""
     mart = daily_revenue(items, in_window(orders, start, end), products, **keys)
-    replace_window(mart, path, "order_date", start, end)
-    return read_table(mart.sparkSession, path)
+    return replace_window(mart, path, "order_date", start, end)
 
 
 def top_products(items: DataFrame, products: DataFrame, n: int = 5, group: tuple[str, ...] = ("tenant_id", "category"), product_key: tuple[str, ...] = ("tenant_id", "product_id")) -> DataFrame:

@@ -89,7 +89,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     if max_records:
         writer = writer.option("maxRecordsPerFile", max_records)
     writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)  # a partitioned table can be without files
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -114,11 +114,11 @@ def replace_window(df: DataFrame, path: str, partition: str, low: str, high: str
         new = {r[0] for r in out.select(F.col(partition).cast("string")).distinct().collect()}
         old = read_optional(spark, path)
         stale = [] if old is None else [r[0] for r in old.filter(inside).select(F.col(partition).cast("string")).distinct().collect()]
-        table = write_table(out, path, [partition], dynamic=True)
+        write_table(out, path, [partition], dynamic=True)
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
         for value in set(stale) - new:
             folder = hadoop(f"{path}/{partition}={value}")
             folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-        return spark.read.parquet(path) if set(stale) - new else table
+        return spark.read.schema(df.schema).parquet(path)
     finally:
         out.unpersist()
