@@ -85,6 +85,18 @@ def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _order(mark: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """The order by mark, then by the other columns, then by position. Most marks occur
+    once, so only the others are sorted by more than the mark."""
+    order = np.argsort(mark)
+    tied = ~_starts(mark[order])
+    tied[:-1] |= tied[1:]
+    k = np.flatnonzero(tied)
+    rows = order[k]
+    order[k] = rows[np.lexsort((rows, *(c[rows] for c in reversed(then)), mark[rows]))]
+    return order
+
+
 def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... count[0] of them, then those from start[1], and so on."""
     ends = np.cumsum(count)
@@ -106,16 +118,16 @@ class Chunk:
         found = [segments_of(r) for r in self.raw]
         row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
         mark, content, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
-        # a mark with a crowd of contents is named once, as crowded
-        order = np.lexsort((content, mark))
+        # entries: the distinct (mark, content) pairs, sorted; their first segment is of the smallest id
+        order = _order(mark, content)
         new = _starts(mark[order], content[order])
         first_of_mark = np.flatnonzero(_starts(mark[order]))
-        kinds = np.add.reduceat(new, first_of_mark) if len(first_of_mark) else np.zeros(0, np.int64)
-        crowded = np.repeat(kinds > CROWD, np.diff(np.append(first_of_mark, len(mark))))
-        content = content.copy()
-        content[order[crowded]] = _CROWDED
-        # entries: the distinct (mark, content) pairs, sorted; their first segment is of the smallest id
-        order = np.lexsort((content, mark))
+        kinds = np.add.reduceat(new, first_of_mark, dtype=np.int64) if len(first_of_mark) else np.zeros(0, np.int64)
+        if (kinds > CROWD).any():  # a mark with a crowd of contents is named once, as crowded
+            crowded = np.repeat(kinds > CROWD, np.diff(np.append(first_of_mark, len(mark))))
+            content = content.copy()
+            content[order[crowded]] = _CROWDED
+            order = _order(mark, content)
         self.mark, self.content, self.row, self.start, self.count = (x[order] for x in (mark, content, row, start, count))
         new = _starts(self.mark, self.content)
         self.first = np.flatnonzero(new)
@@ -223,7 +235,7 @@ def _unpack(raw: np.ndarray) -> np.ndarray:
 def judge_segments(chunks: np.ndarray, sizes: np.ndarray, marks: np.ndarray, contents: np.ndarray) -> np.ndarray:
     """The code of every entry of a bucket; entry k is of the chunk that sizes give it."""
     chunk = np.repeat(chunks, sizes)
-    order = np.lexsort((chunk, contents, marks))
+    order = _order(marks, contents, chunk)
     mark, content = marks[order], contents[order]
     new_pair, new_mark = _starts(mark, content), _starts(mark)
     group = np.cumsum(new_mark) - 1
@@ -240,6 +252,7 @@ class SuffixSort:
 
     def __init__(self, raw: np.ndarray, start: np.ndarray):
         self.raw, self.prefix, self.start = raw, prefix_hashes(raw), start
+        self.whole = span_hashes(self.prefix, start, start + LENGTH)
 
     def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """The common extension of the suffixes at i and j, up to LENGTH bytes, by binary
@@ -251,17 +264,24 @@ class SuffixSort:
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
-    def less(self, i: np.ndarray, j: np.ndarray, or_equal: bool) -> np.ndarray:
-        n = self.extension(i, j)
-        inside = n < LENGTH
-        n = np.minimum(n, LENGTH - 1)
-        a, b = self.raw[i + n], self.raw[j + n]
-        return np.where(inside, a < b, or_equal)
+    def less(self, x: np.ndarray, y: np.ndarray, or_equal: bool) -> np.ndarray:
+        """Whether suffixes x come before suffixes y; those that agree throughout are
+        told apart from the others by their whole hash, without a search."""
+        out = np.full(len(x), or_equal)
+        k = np.flatnonzero(self.whole[x] != self.whole[y])
+        i, j = self.start[x[k]], self.start[y[k]]
+        n = np.minimum(self.extension(i, j), LENGTH - 1)
+        out[k] = self.raw[i + n] < self.raw[j + n]
+        return out
 
     def sort(self, order: np.ndarray, group_start: np.ndarray, group_size: np.ndarray) -> np.ndarray:
         """Mergesort of order's slices [group_start, + group_size), all slices at once.
         A merge finds each suffix's rank in the other run by binary search."""
         order = order.copy()
+        if len(group_start):  # groups that agree throughout are sorted as they are
+            whole = self.whole[order]
+            mixed = np.minimum.reduceat(whole, group_start) != np.maximum.reduceat(whole, group_start)
+            group_start, group_size = group_start[mixed], group_size[mixed]
         width = 1
         while len(group_size) and width < group_size.max():
             wide = group_size > width
@@ -274,12 +294,12 @@ class SuffixSort:
             base = place - offset + run
             other = np.where(left, base + width, base)
             length = np.clip(np.where(left, np.minimum(total - run - width, width), width), 0, None)
-            suffix = self.start[order[place]]
+            suffix = order[place]
             low, high = np.zeros(len(place), np.int64), length.copy()
             todo = np.flatnonzero(low < high)
             while len(todo):
                 middle = (low[todo] + high[todo]) // 2
-                them = self.start[order[other[todo] + middle]]
+                them = order[other[todo] + middle]
                 mine = suffix[todo]
                 is_left = left[todo]
                 # the left run comes first among equals
@@ -296,9 +316,10 @@ class SuffixSort:
             width *= 2
         return order
 
-    def same(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether the windows at i and j are equal: by hash, then verified by bytes."""
-        out = span_hashes(self.prefix, i, i + LENGTH) == span_hashes(self.prefix, j, j + LENGTH)
+    def same(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether windows x and y are equal: by hash, then verified by bytes."""
+        out = self.whole[x] == self.whole[y]
+        i, j = self.start[x], self.start[y]
         k = np.flatnonzero(out)
         step = np.arange(LENGTH)
         for a in range(0, len(k), WINDOW_BYTES // LENGTH):
@@ -323,7 +344,7 @@ def repeated_windows(marks: np.ndarray, docs: np.ndarray, windows: np.ndarray, r
     new = np.zeros(len(order), bool)
     new[begin] = True
     k = np.flatnonzero(~new)
-    new[k] = ~sorter.same(start[order[k]], start[order[k - 1]])
+    new[k] = ~sorter.same(order[k], order[k - 1])
     first = np.flatnonzero(new)
     least = np.minimum.reduceat(doc[order], first) if len(first) else np.zeros(0, np.int64)
     out = np.zeros(len(order), bool)
