@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import hash_sample
+
 # The rules, each a host and the start of a path with its verdict.
 RULES = {
     "com/": "allow",
@@ -70,7 +72,7 @@ def lexical_features(pages: DataFrame) -> DataFrame:
         F.length("host").cast("double").alias("host_length"),
         F.array_max(F.transform(labels, lambda x: F.length(x))).cast("double").alias("longest_label"),
         count("-", url).alias("hyphens"),
-        F.array_join(F.slice(F.reverse(labels), 1, 2), ".").alias("suffix"),
+        F.array_join(F.reverse(F.slice(F.reverse(labels), 1, 2)), ".").alias("suffix"),
     )
 
 
@@ -165,11 +167,8 @@ def fit(featured: DataFrame, rules: dict[str, str], max_rows: int = 5000) -> Url
     """Train on at most max_rows URLs that a rule decides, those with the smallest
     hash: the documented bound of what reaches the driver."""
     blocked = F.col("rule").isin([r for r, v in rules.items() if v == "block"])
-    sample = (
-        featured.filter(F.col("rule").isNotNull())
-        .select("suffix", *FEATURES[:-1], blocked.cast("int").alias("y"), F.xxhash64("url").alias("h"))
-        .orderBy("h", "y", *FEATURES[:-1]).limit(max_rows).collect()
-    )
+    decided = featured.filter(F.col("rule").isNotNull()).select("page_id", "url", "suffix", *FEATURES[:-1], blocked.cast("int").alias("y"))
+    sample = hash_sample(decided, ["page_id", "url"], max_rows).collect()
     x = np.array([[r[f] for f in FEATURES[:-1]] for r in sample], np.float64).reshape(len(sample), len(FEATURES) - 1)
     return train_trees(x, np.array([r["y"] for r in sample], np.float64), [r["suffix"] for r in sample])
 
