@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.byte_bpe import PretokenTable, slices, vocabulary
-from tidemill.llm.common import by_bytes, documents, id_and_text, prepare
+from tidemill.llm.common import by_bytes, documents, id_and_text, own_worker, prepare, small_batches
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NEVER = 1 << 40
@@ -172,7 +172,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     prepare(docs.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        own_worker("byte-pair codec", _encoder.cache_clear)
+        for batch in small_batches(it):
             texts = batch.column("text").to_pylist()
             for lo, hi in by_bytes(texts):
                 ids = encode_texts(texts[lo:hi], path)
@@ -192,7 +193,8 @@ def bpe_roundtrip(docs: DataFrame, path: str) -> DataFrame:
     prepare(docs.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        own_worker("byte-pair codec", _encoder.cache_clear)
+        for batch in small_batches(it):
             texts = batch.column("text").to_pylist()
             for lo, hi in by_bytes(texts):
                 ids = encode_texts(texts[lo:hi], path)

@@ -3,14 +3,20 @@ how workers find this package, and joins that survive a hot key."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_libc = ctypes.CDLL(None)
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -71,6 +77,36 @@ def hash_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     return df.orderBy(h, *keys).limit(most)
 
 
+_forget: dict[str, Callable[[], None]] = {}
+
+
+def own_worker(name: str, forget: Callable[[], None]) -> None:
+    """Say that this Python worker now runs operator `name`, whose caches `forget`
+    empties. Workers are reused, so what another operator kept is dropped here."""
+    for other in [x for x in _forget if x != name]:
+        _forget.pop(other)()
+    _forget[name] = forget
+
+
+def give_back() -> None:
+    """Return freed memory to the system: the JVM and other workers share the machine."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def small_batches(it: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices with about `limit` bytes in a column, so that Python objects
+    are made for one slice at a time."""
+    for batch in it:
+        if batch.num_rows:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cut = np.flatnonzero(np.diff(size // limit)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+                yield batch.slice(a, b - a)
+    give_back()
+
+
 def by_bytes(texts, limit: int = 4 << 20):
     """Index ranges of consecutive texts with about `limit` characters each, so
     that temporary arrays stay small however long the texts are."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import documents, id_and_text, prepare
+from tidemill.llm.common import documents, id_and_text, own_worker, prepare, small_batches
 from tidemill.llm.quality import held_out
 
 BITS = 17
@@ -79,7 +79,7 @@ class Crf:
     rows: dict[str, int] = field(default_factory=dict)
     scores: np.ndarray | None = None
 
-    def scores_of(self, split: list[list[str]], capacity: int = 400_000) -> list[np.ndarray]:
+    def scores_of(self, split: list[list[str]], capacity: int = 300_000) -> list[np.ndarray]:
         """For each text the row numbers of its words in self.scores."""
         if self.scores is None or len(self.rows) > capacity:
             self.rows, self.scores = {}, np.zeros((0, len(self.labels)), np.float32)
@@ -251,10 +251,11 @@ def identify(docs: DataFrame, crf: Crf) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((crf.labels, crf.emission, crf.transition))  # 2**BITS rows
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("language", lambda: None)
         model = Crf(*shared.value)
-        for batch in it:
+        for batch in small_batches(it):
             texts = batch.column("text").to_pylist()
-            found = [x for lo in range(0, len(texts), 2000) for x in predict(model, texts[lo : lo + 2000])]
+            found = predict(model, texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return id_and_text(docs).withColumn("held_out", F.coalesce(held_out(3, 1), F.lit(False))).mapInArrow(batches, SCHEMA)
@@ -268,10 +269,11 @@ def keep_identified(docs: DataFrame, crf: Crf, least: float = 0.3) -> DataFrame:
     names = docs.columns
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("language", lambda: None)
         model = Crf(*shared.value)
-        for batch in it:
+        for batch in small_batches(it):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = [x for lo in range(0, len(texts), 2000) for x in predict(model, texts[lo : lo + 2000])]
+            found = predict(model, texts)
             batch = batch.set_column(names.index("lang"), "lang", pa.array([x[0] for x in found], pa.string()))
             yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= least for x in found], pa.bool_()))
 

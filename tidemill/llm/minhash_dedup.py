@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import by_bytes, documents, id_and_text, join_by_group, materialize, prepare
+from tidemill.llm import polyhash
+from tidemill.llm.common import by_bytes, documents, id_and_text, join_by_group, materialize, own_worker, prepare, small_batches
 from tidemill.llm.components import connected_components
 from tidemill.llm.polyhash import ODD, mix, prefix_hashes, span_hashes
 
@@ -126,7 +127,8 @@ def _signed(docs: DataFrame) -> DataFrame:
     """doc_id, weight, digest and band keys of every document with at least a word."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        own_worker("minhash", polyhash.forget)
+        for batch in small_batches(it):
             texts = batch.column("text").to_pylist()
             for lo, hi in by_bytes(texts, 2 << 20):
                 owner, cell = cells(texts[lo:hi])
@@ -147,7 +149,8 @@ def _cell_sets(docs: DataFrame) -> DataFrame:
     """doc_id and the sorted 64-bit cells of each document."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        own_worker("minhash", polyhash.forget)
+        for batch in small_batches(it):
             texts = batch.column("text").to_pylist()
             for lo, hi in by_bytes(texts, 2 << 20):
                 owner, cell = cells(texts[lo:hi])
@@ -164,7 +167,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     threshold. A pair whose weights alone rule that out is dropped before the join."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        own_worker("minhash", polyhash.forget)
+        for batch in small_batches(it, "cells_a"):
             keep = []
             for x, y in zip(batch.column("cells_a").to_pylist(), batch.column("cells_b").to_pylist(), strict=True):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.byte_bpe import PretokenTable, slices
-from tidemill.llm.common import by_bytes, documents, id_and_text, prepare
+from tidemill.llm.common import by_bytes, documents, id_and_text, own_worker, prepare, small_batches
 
 END_ID = 2
 CAP = 4096
@@ -80,7 +80,9 @@ class Tokenization:
         return out
 
 
-tokenization = functools.lru_cache(maxsize=2)(Tokenization)
+@functools.lru_cache(maxsize=2)
+def tokenization(path: str) -> Tokenization:
+    return Tokenization(path)
 
 
 def token_ids(texts: list[str], path: str, end_id: int = END_ID) -> list[np.ndarray]:
@@ -110,7 +112,8 @@ def pack_documents(docs: DataFrame, path: str, cap: int = CAP, end_id: int = END
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset", "bucket", *["ids"] * with_ids]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        own_worker("packing", tokenization.cache_clear)
+        for batch in small_batches(it):
             texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for lo, hi in by_bytes(texts):
                 found = []

@@ -34,6 +34,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def forget() -> None:
+    """Drop the powers that are kept."""
+    global _powers
+    _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
 def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     """P for every prefix of the bytes, the empty one included."""
     out = np.zeros(len(raw) + 1, np.uint64)

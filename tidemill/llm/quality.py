@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import documents, hash_sample, id_and_text, prepare
+from tidemill.llm.common import documents, hash_sample, id_and_text, own_worker, prepare, small_batches
 
 BITS = 18
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> np.ndarray:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in it:
+        for batch in small_batches(it):
             pairs = [_values(features(t, hashes)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array([a.astype(np.int32) for a, _ in pairs], pa.list_(pa.int32())), pa.array([v for _, v in pairs], pa.list_(pa.float64()))], ["doc_id", "label", "at", "value"])
 
@@ -130,8 +130,9 @@ def score_documents(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # fixed size: 2**BITS + 1 floats
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("quality", lambda: None)
         hashes, w = Hashes(), shared.value
-        for batch in it:
+        for batch in small_batches(it):
             out = []
             for text in batch.column("text").to_pylist():
                 found = features(text, hashes)

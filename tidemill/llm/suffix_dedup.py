@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import documents, id_and_text, materialize, prepare
+from tidemill.llm import polyhash
+from tidemill.llm.common import documents, give_back, id_and_text, materialize, own_worker, prepare
 from tidemill.llm.polyhash import ODD, mix, prefix_hashes, span_hashes, window_hashes
 
 LENGTH, GRAM = 50, 26
@@ -368,6 +369,12 @@ def _chunk_of(doc_id: Column, bounds: list[int]) -> Column:
     return (coarse * step + fine).cast("long")
 
 
+def enter() -> None:
+    """Start work on a group: what the last one freed goes back first."""
+    own_worker("suffix sort", polyhash.forget)
+    give_back()
+
+
 REPLY = "chunk long, kind int, bucket int, data binary"
 
 
@@ -379,11 +386,13 @@ def _apply(docs: DataFrame, finish, schema: str, chunk_bytes: int, bucket_bytes:
     dealt = docs.select("doc_id", "text", _chunk_of(F.col("doc_id"), sorted({int(c) for c in cuts})).alias("chunk"))
 
     def name_entries(key: tuple, table: pa.Table) -> pa.Table:
+        enter()
         found = list(Chunk.of(table).entries(buckets))
         number = [key[0].as_py()] * len(found)
         return pa.table({"bucket": pa.array([f[0] for f in found], pa.int32()), "chunk": pa.array(number, pa.int64()), "entries": pa.array([f[1].tobytes() for f in found], pa.binary())})
 
     def judge(key: tuple, table: pa.Table) -> pa.Table:
+        enter()
         packed = [np.frombuffer(e, np.uint8) for e in table["entries"].to_pylist()]
         half = [len(p) // 2 for p in packed]
         sizes = np.array(half) // 6
@@ -395,6 +404,7 @@ def _apply(docs: DataFrame, finish, schema: str, chunk_bytes: int, bucket_bytes:
         return pa.table({"chunk": table["chunk"], "kind": pa.array([0] * n, pa.int32()), "bucket": pa.array([key[0].as_py()] * n, pa.int32()), "data": pa.array(data, pa.binary())})
 
     def name_candidates(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        enter()
         out: dict[str, list] = {c: [] for c in ("bucket", "chunk", "marks", "docs", "windows", "raw")}
         if table.num_rows:
             chunk = Chunk.of(table)
@@ -406,6 +416,7 @@ def _apply(docs: DataFrame, finish, schema: str, chunk_bytes: int, bucket_bytes:
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
 
     def sort_windows(key: tuple, table: pa.Table) -> pa.Table:
+        enter()
         columns = {c: [np.frombuffer(x, k) for x in table[c].to_pylist()] for c, k in (("marks", np.uint64), ("docs", np.int64), ("windows", np.int64), ("raw", np.uint8))}
         flags = repeated_windows(*(np.concatenate(columns[c]) for c in ("marks", "docs", "windows", "raw")))
         cut = np.cumsum([int(w.sum()) for w in columns["windows"]])[:-1]
@@ -414,6 +425,7 @@ def _apply(docs: DataFrame, finish, schema: str, chunk_bytes: int, bucket_bytes:
         return pa.table({"chunk": table["chunk"], "kind": pa.array([1] * n, pa.int32()), "bucket": pa.array([key[0].as_py()] * n, pa.int32()), "data": pa.array(data, pa.binary())})
 
     def close(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        enter()
         chunk = Chunk.of(table)
         codes = _codes(replies)
         packed = {r["bucket"]: np.frombuffer(r["data"], np.uint8) for r in replies.to_pylist() if r["kind"] == 1}

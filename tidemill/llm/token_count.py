@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.byte_bpe import NO_RANK, PretokenTable, Vocabulary, slices, vocabulary
-from tidemill.llm.common import by_bytes, documents, id_and_text, prepare
+from tidemill.llm.common import by_bytes, documents, id_and_text, own_worker, prepare, small_batches
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -117,7 +117,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     prepare(docs.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        own_worker("token counts", _table.cache_clear)
+        for batch in small_batches(it):
             texts = batch.column("text").to_pylist()
             n_tokens = count_texts(texts, path)
             n_bytes = [len(t.encode("utf-8", "replace")) for t in texts]
