@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import exact_dedup, language_crf, minhash_dedup, packing, suffix_dedup
-from tidemill.llm.common import documents, materialize
+from tidemill.llm.common import documents, materialize, release
 
 # No stage but the second can be expressed in SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
@@ -56,7 +56,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents of sf_dir."""
-    docs = documents(spark, sf_dir)
+    first = docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        done = materialize(stage(spark, docs, sf_dir), name)
+        if docs is not first:
+            release(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
