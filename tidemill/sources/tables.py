@@ -57,6 +57,13 @@ def stream_parquet(spark: SparkSession, folder: str, file_glob: str, schema: Str
     return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def stream_kafka(spark: SparkSession, servers: str, topic: str, schema: StructType) -> DataFrame:
+    """JSON values of a Kafka topic as an unbounded table; needs Spark's Kafka connector
+    on the class path."""
+    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
+    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("v")).select("v.*")
+
+
 class SelfOverwrite(ValueError):
     """The target of a write is among the files that it would read."""
 
