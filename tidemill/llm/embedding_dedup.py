@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import hash_sample, join_by_group, materialize, prepare
+from tidemill.llm.common import hash_sample, join_by_group, materialize, prepare, release
 from tidemill.llm.components import connected_components, forest
 
 BLOCK = 1024  # vectors of one bucket that are compared at once
@@ -208,6 +208,7 @@ def _links(spark: SparkSession, classes: DataFrame, threshold: float, sample_row
         return pa.table({"class_id": columns[0], "links": columns[1], "root": columns[2]})
 
     found = materialize(entries.groupBy("table", "slot").applyInArrow(compare, "class_id long, links long, root long"), "links")
+    release(indexed)
     return found.groupBy("class_id").agg(F.sum("links").alias("links")), found.select(F.col("class_id").alias("a"), F.col("root").alias("b")).distinct()
 
 

@@ -32,6 +32,13 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words(text: str) -> list[str]:
+    """Lower-cased runs of letters. Beyond ASCII the pattern also takes signs like a
+    superscript two, so a run without any letter is left out there."""
+    found = _WORD.findall(text.lower())
+    return found if text.isascii() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
+
+
 def _hash(kind: int, *columns: np.ndarray) -> np.ndarray:
     h = np.full(len(columns[0]), kind * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
     for c in columns:
@@ -40,14 +47,14 @@ def _hash(kind: int, *columns: np.ndarray) -> np.ndarray:
     return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_features(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(owner, feature) pairs of all words: bigrams and trigrams with the word's ends
     marked, prefixes and suffixes of one to three characters, and the word."""
-    chars = np.frombuffer("".join(f"\2{w}\3" for w in words).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-    size = np.array([len(w) + 2 for w in words], np.int64)
+    chars = np.frombuffer("".join(f"\2{w}\3" for w in items).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    size = np.array([len(w) + 2 for w in items], np.int64)
     end = np.cumsum(size)
     start = end - size
-    owner = np.repeat(np.arange(len(words)), size)
+    owner = np.repeat(np.arange(len(items)), size)
     owners, found = [], []
 
     def grams(kind: int, n: int, where: np.ndarray) -> None:
@@ -65,8 +72,8 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     # the whole word, as a polynomial of its characters
     place = np.arange(len(chars)) - start[owner]
     powers = np.cumprod(np.full(int(size.max(initial=1)), 0x5851F42D4C957F2D, np.uint64))
-    word = np.add.reduceat(chars * powers[place], start) if len(words) else np.zeros(0, np.uint64)
-    owners.append(np.arange(len(words)))
+    word = np.add.reduceat(chars * powers[place], start) if len(items) else np.zeros(0, np.uint64)
+    owners.append(np.arange(len(items)))
     found.append(_hash(1, word))
     return np.concatenate(owners), np.concatenate(found)
 
@@ -165,7 +172,7 @@ def _time_major(rows: list[np.ndarray], group):
 
 def predict(crf: Crf, texts: list[str]) -> list[tuple[str, float]]:
     """(language, mean posterior) of each text; `und` and 0 where it has no letter."""
-    split = [_WORD.findall(t.lower()) for t in texts]
+    split = [words(t) for t in texts]
     if not crf.labels:
         return [(UNKNOWN, 0.0)] * len(texts)
     rows = crf.scores_of(split)
@@ -187,7 +194,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 30, rate: float = 0.
     """Maximise the likelihood of each text's words all being in the text's language,
     by AdaGrad on full forward-backward gradients. Languages are sorted by name."""
     labels = sorted(set(langs))
-    split = [_WORD.findall(t.lower()) for t in texts]
+    split = [words(t) for t in texts]
     number = {w: k for k, w in enumerate(dict.fromkeys(w for s in split for w in s))}
     owner, found = word_features(list(number)) if number else (np.zeros(0, np.int64),) * 2
     rows = [np.array([number[w] for w in s], np.int64) for s in split]
@@ -200,7 +207,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 30, rate: float = 0.
         np.add.at(observed[:, c], r, 1)
         steps[c, c] += max(0, len(r) - 1)
     groups = [(g, *_time_major(rows, g)) for g in _batches(segments([len(r) for r in rows]))]
-    words = max(1, sum(map(len, rows)))
+    n_words = max(1, sum(map(len, rows)))
     for _ in range(rounds if n else 0):
         scores = emissions(emission, owner, found, n)
         expected, moved = np.zeros((n, k)), np.zeros((k, k))
@@ -213,7 +220,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 30, rate: float = 0.
                 inner[first - a : last - a, j] = True
             for c in range(k):
                 expected[:, c] += np.bincount(at[inner], posterior[..., c][inner], n)
-        g_word = (observed - expected) / words * 100
+        g_word = (observed - expected) / n_words * 100
         g = np.column_stack([np.bincount(found, g_word[owner, c], 1 << BITS) for c in range(k)]) - decay * emission
         seen_e += g * g
         emission += rate * g / np.sqrt(seen_e)

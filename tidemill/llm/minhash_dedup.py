@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import polyhash
-from tidemill.llm.common import by_bytes, documents, id_and_text, join_by_group, materialize, own_worker, prepare, small_batches
+from tidemill.llm.common import by_bytes, documents, id_and_text, join_by_group, materialize, own_worker, prepare, release, small_batches
 from tidemill.llm.components import connected_components
 from tidemill.llm.polyhash import ODD, mix, prefix_hashes, span_hashes
 
@@ -226,6 +226,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = materialize(_verified(rest, sets, threshold).unionByName(links), "links")
     found = connected_components(more)
+    for table in (buckets, met, sets, links, more):
+        release(table)
 
     grouped = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("class_id"))
     members = join_by_group(signed.select("doc_id", "digest"), grouped, ["digest"], "copies", max(1, total)).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
