@@ -17,12 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _libc = ctypes.CDLL(None)
+#: Rows and bytes of a batch, where the session says nothing else.
+BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package whatever directory the driver
-    started in, and make sure a checkpoint directory is known."""
+    """Let Python workers import this package whatever directory the driver started in,
+    and keep the batches that they get small, unless the session has its own sizes:
+    texts can be long, and the JVM holds each batch outside its heap."""
+    for key, size in BATCH_CONF.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, size)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in have.split(":"):
@@ -83,8 +89,11 @@ _forget: dict[str, Callable[[], None]] = {}
 def own_worker(name: str, forget: Callable[[], None]) -> None:
     """Say that this Python worker now runs operator `name`, whose caches `forget`
     empties. Workers are reused, so what another operator kept is dropped here."""
-    for other in [x for x in _forget if x != name]:
+    others = [x for x in _forget if x != name]
+    for other in others:
         _forget.pop(other)()
+    if others:
+        give_back()
     _forget[name] = forget
 
 
@@ -95,7 +104,7 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
-def small_batches(it: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(it: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices with about `limit` bytes in a column, so that Python objects
     are made for one slice at a time."""
     for batch in it:

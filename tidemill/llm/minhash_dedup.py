@@ -130,7 +130,7 @@ def _signed(docs: DataFrame) -> DataFrame:
         own_worker("minhash", polyhash.forget)
         for batch in small_batches(it):
             texts = batch.column("text").to_pylist()
-            for lo, hi in by_bytes(texts, 2 << 20):
+            for lo, hi in by_bytes(texts, 1 << 19):
                 owner, cell = cells(texts[lo:hi])
                 n = hi - lo
                 s = signatures(owner, cell, n).reshape(n * BANDS, ROWS)
@@ -152,7 +152,7 @@ def _cell_sets(docs: DataFrame) -> DataFrame:
         own_worker("minhash", polyhash.forget)
         for batch in small_batches(it):
             texts = batch.column("text").to_pylist()
-            for lo, hi in by_bytes(texts, 2 << 20):
+            for lo, hi in by_bytes(texts, 1 << 19):
                 owner, cell = cells(texts[lo:hi])
                 order = np.lexsort((cell, owner))
                 ends = np.cumsum(np.bincount(owner, minlength=hi - lo))
