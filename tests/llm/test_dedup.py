@@ -157,6 +157,18 @@ def test_near_duplicates_equal_brute_force(docs):
     assert {r["doc_id"] for r in kept.collect()} == set(want.values()) and kept.columns == docs(rows).columns
 
 
+def test_a_crowd_that_only_resembles_one_text(docs):
+    """Copies that are each close to the original but not to each other, in buckets too
+    large to compare pair by pair."""
+    rng = random.Random(8)
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+    rows = [(k, _near(base, 5, k)) for k in range(160)] + [(1000, base)]
+    want = _brute_near(rows)
+    assert len(set(want.values())) == 1
+    got = {i: r["class_id"] for i, r in by_id(minhash_dedup.near_duplicates(docs(rows))).items()}
+    assert got == want
+
+
 def test_near_duplicates_of_odd_rows(docs):
     rows = [(1, None), (2, ""), (3, "!!"), (4, "one two"), (5, "One, two."), (6, "one two three"), (7, "same row " * 9), (7, "same row " * 9), (None, "one two")]
     got = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs(rows)).collect()), key=repr)

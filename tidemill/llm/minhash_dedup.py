@@ -30,6 +30,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 SMALL_BUCKET = 12  # buckets up to this size are compared pair by pair
+CUT_BUCKET = 256  # parts of larger buckets up to this size are compared with all texts that are apart
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
@@ -180,6 +181,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "cells_a", "cells_b").mapInArrow(batches, "a long, b long")
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the components found so far do not connect."""
+    both = pairs.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id and kept for every row of docs: class_id is the smallest
     doc_id reachable over links, a link being a weighted Jaccard similarity of at
@@ -188,7 +195,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Documents with the same weighted set of shingles are one node of the graph, so
     copies cost nothing. In a band's bucket every text is compared with the bucket's
     smallest id; then, where two texts are not yet connected, with another leader in
-    each band, and buckets of up to SMALL_BUCKET texts pair by pair. Texts without a
+    each band, and buckets of up to SMALL_BUCKET texts pair by pair. Larger buckets in
+    which a text is still apart are cut by a second band's key: such texts are compared
+    with a leader of each part, and with all of it up to CUT_BUCKET texts. Texts without a
     word (null and empty ones too) have no shingles, link with nothing and are kept,
     as is a row with a null doc_id, whose class_id is null. Rows repeated with their
     doc_id are one document. Other columns are ignored; an empty table gives an empty
@@ -221,12 +230,31 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = materialize(_cell_sets(docs.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "cells")
     links = materialize(_verified(first, sets, threshold), "links")
     found = connected_components(links)
-    rest = other.unionByName(small).distinct()
-    rest = rest.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = materialize(_verified(rest, sets, threshold).unionByName(links), "links")
+    more = materialize(_verified(_apart(other.unionByName(small).distinct(), found), sets, threshold).unionByName(links), "links")
     found = connected_components(more)
-    for table in (buckets, met, sets, links, more):
+
+    # third round: large buckets where a text is still apart from the smallest id are cut by a second band
+    crowd = met.filter(F.col("n") > SMALL_BUCKET).select("band", "key", "rep", "weight", F.col("least.rep").alias("least"))
+    crowd = crowd.join(found.select(F.col("node").alias("rep"), F.col("component").alias("ca")), "rep", "left").join(found.select(F.col("node").alias("least"), F.col("component").alias("cb")), "least", "left")
+    crowd = crowd.withColumn("apart", F.coalesce("ca", "rep") != F.coalesce("cb", "least")).drop("ca", "cb", "least")
+    crowd = materialize(crowd, "crowd")
+    if not crowd.filter("apart").isEmpty():
+        cut = crowd.filter("apart").select("band", "key").distinct()
+        second = met.select("rep", F.col("band").alias("band2"), F.col("key").alias("key2"))
+        inner = crowd.join(cut, ["band", "key"], "left_semi").join(second, "rep").filter("band <> band2")
+        spot = ["band", "key", "band2", "key2"]
+        sizes = inner.groupBy(*spot).agg(F.count("*").alias("m"), F.max("apart").alias("any"), F.min(F.struct(F.xxhash64("rep", "band", "band2").alias("h"), "rep", "weight")).alias("head")).filter("m > 1 AND any")
+        inner = materialize(join_by_group(inner, sizes, spot, "m", max(1, total)), "inner")
+        stars = inner.filter((F.col("rep") != F.col("head.rep")) & can_reach("weight", "head.weight")).select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b"))
+        few = inner.filter(F.col("m") <= CUT_BUCKET)
+        ones = few.filter("apart").select(*spot, "rep", "weight")
+        pairs = ones.join(few.select(*spot, F.col("rep").alias("rep2"), F.col("weight").alias("weight2")), spot).filter((F.col("rep") != F.col("rep2")) & can_reach("weight", "weight2"))
+        pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+        last = materialize(_verified(_apart(stars.unionByName(pairs).distinct(), found), sets, threshold).unionByName(more), "links")
+        found = connected_components(last)
+        release(inner)
+        release(last)
+    for table in (buckets, met, sets, links, more, crowd):
         release(table)
 
     grouped = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("class_id"))
