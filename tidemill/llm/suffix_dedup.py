@@ -41,7 +41,7 @@ from tidemill.llm.common import documents, give_back, id_and_text, materialize,
 from tidemill.llm.polyhash import ODD, mix, prefix_hashes, span_hashes, window_hashes
 
 LENGTH, GRAM = 50, 26
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20  # text a chunk holds; text whose segments a bucket gets
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20  # text a chunk holds; text whose segments a bucket gets
 CROWD = 64  # contents of a mark that one chunk may name
 SLICE = 4 << 20  # bytes of a long text that are hashed at once
 WINDOW_BYTES = 1 << 20  # windows verified at once
@@ -119,6 +119,7 @@ class Chunk:
         found = [segments_of(r) for r in self.raw]
         row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
         mark, content, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
         # entries: the distinct (mark, content) pairs, sorted; their first segment is of the smallest id
         order = _order(mark, content)
         new = _starts(mark[order], content[order])
@@ -129,7 +130,9 @@ class Chunk:
             content = content.copy()
             content[order[crowded]] = _CROWDED
             order = _order(mark, content)
-        self.mark, self.content, self.row, self.start, self.count = (x[order] for x in (mark, content, row, start, count))
+        self.mark, self.content = mark[order], content[order]
+        del mark, content
+        self.row, self.start, self.count = row[order], start[order], count[order]
         new = _starts(self.mark, self.content)
         self.first = np.flatnonzero(new)
         self.entry = np.cumsum(new) - 1
