@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators.joins import enrich
+
 STATUS = "F"
 AS_OF = "2000-06-30"
 
@@ -28,7 +30,7 @@ def plain_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the tenant of their customer."""
-    return plain_orders(spark, sf_dir).join(customers(spark, sf_dir).select("customer_id", "tenant_id"), "customer_id")
+    return enrich(plain_orders(spark, sf_dir), customers(spark, sf_dir).select("customer_id", "tenant_id"), ["customer_id"], "inner")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from tidemill.functions.exprs import any_if, exact_sum, max_if, sum_if
 from tidemill.functions.exprs import minute_label as hour_and_minute
 from tidemill.operators import affinity, changes, checks, features, joins, keyed, marts, quality
 from tidemill.plans.inspect import plan_facts
+from tidemill.plans.layout import layout_of
 from tidemill.session import scratch
 from tidemill.sources import tables
 from tidemill.streaming import clicks
@@ -421,6 +422,28 @@ def plan_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.inline(spark, [(pushed, len(facts.read_columns[0]), facts.exchanges)], "pushed string, columns_read int, exchanges int")
 
 
+@query("SELECT count(DISTINCT event_type) AS folders, count(DISTINCT event_type) AS files, count(*) AS n FROM events")
+def layout_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tidy partitioned table: one folder and one file for each value."""
+    path = scratch(spark, "tidy")
+    written = tables.write_table(B.table(spark, sf_dir, "events"), path, ["event_type"], tidy=True)
+    found = layout_of(spark, path)
+    return written.agg(F.lit(found.folders).cast("long").alias("folders"), F.lit(found.files).cast("long").alias("files"), F.count("*").alias("n"))
+
+
+@query("SELECT true AS refused, count(*) AS n FROM nation")
+def static_overwrite_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that would overwrite its own input is refused, and the input survives."""
+    path = scratch(spark, "guarded")
+    kept = tables.write_table(B.table(spark, sf_dir, "nation"), path)
+    try:
+        tables.write_table(kept.filter("n_nationkey > 5"), path)
+        refused = False
+    except tables.SelfOverwrite:
+        refused = True
+    return kept.agg(F.lit(refused).alias("refused"), F.count("*").alias("n"))
+
+
 # set operations
 
 
