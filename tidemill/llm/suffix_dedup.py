@@ -35,9 +35,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.llm import polyhash
-from tidemill.llm.common import documents, give_back, id_and_text, materialize, own_worker, prepare
+from tidemill.llm.common import documents, give_back, id_and_text, own_worker, prepare
 from tidemill.llm.polyhash import ODD, mix, prefix_hashes, span_hashes, window_hashes
 
 LENGTH, GRAM = 50, 26
@@ -113,8 +114,10 @@ class Chunk:
 
     @classmethod
     def of(cls, table: pa.Table) -> Chunk:
-        rows = sorted(zip(table["doc_id"].to_pylist(), (t.encode("utf-8", "replace") for t in table["text"].to_pylist()), strict=True))
-        self = cls(np.array([r[0] for r in rows], np.int64), [r[1] for r in rows])
+        ids, texts = table["doc_id"].to_numpy(), [t.encode("utf-8", "replace") for t in table["text"].to_pylist()]
+        place = sorted(range(len(texts)), key=lambda k: (ids[k], texts[k]))
+        self = cls(ids[place], [texts[k] for k in place])
+        self.place = place  # where the documents are in the table
         self.raw = [np.frombuffer(t, np.uint8) for t in self.texts]
         found = [segments_of(r) for r in self.raw]
         row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
@@ -381,12 +384,13 @@ def enter() -> None:
 REPLY = "chunk long, kind int, bucket int, data binary"
 
 
-def _apply(docs: DataFrame, finish, schema: str, chunk_bytes: int, bucket_bytes: int) -> DataFrame:
-    """finish(chunk, starts of repeated windows by document) -> table, for each chunk."""
+def _apply(docs: DataFrame, finish, schema, chunk_bytes: int, bucket_bytes: int) -> DataFrame:
+    """finish(chunk, starts of repeated windows by document, the chunk's rows) -> table, for
+    each chunk. docs has doc_id, text and perhaps columns that finish wants back."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = max(1, -(-size // chunk_bytes)), max(1, -(-size // bucket_bytes))
     cuts = docs.stat.approxQuantile("doc_id", [k / chunks for k in range(1, chunks)], min(0.001, 0.1 / chunks)) if chunks > 1 else []
-    dealt = docs.select("doc_id", "text", _chunk_of(F.col("doc_id"), sorted({int(c) for c in cuts})).alias("chunk"))
+    dealt = docs.withColumn("chunk", _chunk_of(F.col("doc_id"), sorted({int(c) for c in cuts})))
 
     def name_entries(key: tuple, table: pa.Table) -> pa.Table:
         enter()
@@ -434,14 +438,14 @@ def _apply(docs: DataFrame, finish, schema: str, chunk_bytes: int, bucket_bytes:
         packed = {r["bucket"]: np.frombuffer(r["data"], np.uint8) for r in replies.to_pylist() if r["kind"] == 1}
         sizes = {b: int(count.sum()) for b, _, _, _, count in chunk.candidates(codes, buckets)}
         flags = {b: np.unpackbits(packed[b], count=n).astype(bool) for b, n in sizes.items()}
-        return finish(chunk, chunk.repeats(codes, flags, buckets))
+        return finish(chunk, chunk.repeats(codes, flags, buckets), table)
 
     by_chunk = dealt.groupBy("chunk")
     entries = by_chunk.applyInArrow(name_entries, "bucket int, chunk long, entries binary")
     codes = entries.groupBy("bucket").applyInArrow(judge, REPLY)
     named = by_chunk.cogroup(codes.groupBy("chunk")).applyInArrow(name_candidates, "bucket int, chunk long, marks binary, docs binary, windows binary, raw binary")
     flags = named.groupBy("bucket").applyInArrow(sort_windows, REPLY)
-    return by_chunk.cogroup(codes.unionByName(flags).groupBy("chunk")).applyInArrow(close, schema)
+    return by_chunk.cogroup(codes.unionByName(flags).groupBy("chunk")).applyInArrow(close, schema)  # all uses of dealt share one exchange
 
 
 def removed_bytes(n: int, starts: np.ndarray) -> np.ndarray:
@@ -463,7 +467,7 @@ def mark_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes:
     prepare(docs.sparkSession)
     docs = id_and_text(docs)
 
-    def finish(chunk: Chunk, repeats: list[np.ndarray]) -> pa.Table:
+    def finish(chunk: Chunk, repeats: list[np.ndarray], table: pa.Table) -> pa.Table:
         rows = []
         for raw, starts in zip(chunk.raw, repeats, strict=True):
             gone = removed_bytes(len(raw), starts) if len(starts) else None
@@ -485,20 +489,20 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes
     such a column, all other columns stay. A character that a removed run cuts into
     goes with it. Rows without a text or doc_id stay as they are."""
     prepare(docs.sparkSession)
-
-    def finish(chunk: Chunk, repeats: list[np.ndarray]) -> pa.Table:
-        out = [raw[~removed_bytes(len(raw), starts)].tobytes().decode("utf-8", "ignore") for raw, starts in zip(chunk.raw, repeats, strict=True) if len(starts)]
-        ids = [int(i) for i, starts in zip(chunk.ids, repeats, strict=True) if len(starts)]
-        before = [hashlib.sha256(t).hexdigest() for t, starts in zip(chunk.texts, repeats, strict=True) if len(starts)]
-        return pa.table({"_id": pa.array(ids, pa.int64()), "_was": pa.array(before, pa.string()), "_text": pa.array(out, pa.string())})
-
-    changed = _apply(id_and_text(docs).filter("doc_id IS NOT NULL"), finish, "_id long, _was string, _text string", chunk_bytes, bucket_bytes)
-    changed = materialize(changed, "cut-texts").dropDuplicates(["_id", "_was"])
-    # a row is changed where its id and text are; both sides are spread by id
-    joined = docs.join(changed, (docs["doc_id"].cast("long") == changed["_id"]) & (F.sha2(docs["text"], 256) == changed["_was"]), "left")
-    text = F.coalesce("_text", "text")
-    columns = [text.alias("text") if c == "text" else F.when(F.col("_text").isNotNull(), F.length("_text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*columns)
+    # the other columns travel with the text, as one column that cannot clash
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNull().alias("empty"), F.struct(*others).alias("others"))
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("cut", T.BooleanType()), packed.schema["empty"], packed.schema["others"]])
+
+    def finish(chunk: Chunk, repeats: list[np.ndarray], table: pa.Table) -> pa.Table:
+        out = [raw[~removed_bytes(len(raw), starts)].tobytes().decode("utf-8", "ignore") if len(starts) else text.decode() for raw, starts, text in zip(chunk.raw, repeats, chunk.texts, strict=True)]
+        kept = table.select(["empty", "others"]).take(pa.array(chunk.place, pa.int64()))
+        return pa.table({"text": pa.array(out, pa.string()), "cut": pa.array([len(s) > 0 for s in repeats], pa.bool_()), "empty": kept["empty"], "others": kept["others"]})
+
+    found = _apply(packed, finish, schema, chunk_bytes, bucket_bytes)
+    text = F.when(~F.col("empty"), F.col("text"))
+    column = lambda c: text if c == "text" else F.col("others")[c] if c != "n_chars" else F.when(F.col("cut"), F.length("text")).otherwise(F.col("others")[c]).cast(docs.schema[c].dataType)
+    return found.select(*[column(c).alias(c) for c in docs.columns]).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
