@@ -30,7 +30,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 SMALL_BUCKET = 12  # buckets up to this size are compared pair by pair
-CUT_BUCKET = 256  # parts of larger buckets up to this size are compared with all texts that are apart
+SECOND_BANDS = 5  # larger ones are cut by each of so many following bands
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
@@ -195,9 +195,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Documents with the same weighted set of shingles are one node of the graph, so
     copies cost nothing. In a band's bucket every text is compared with the bucket's
     smallest id; then, where two texts are not yet connected, with another leader in
-    each band, and buckets of up to SMALL_BUCKET texts pair by pair. Larger buckets in
-    which a text is still apart are cut by a second band's key: such texts are compared
-    with a leader of each part, and with all of it up to CUT_BUCKET texts. Texts without a
+    each band, and buckets of up to SMALL_BUCKET texts pair by pair. In larger buckets,
+    texts that are not connected to the text that meets most others are compared with it; and
+    where texts have no link at all, the bucket is cut by further bands, and they are
+    compared with a leader of each part and all of parts up to SMALL_BUCKET texts. Texts without a
     word (null and empty ones too) have no shingles, link with nothing and are kept,
     as is a row with a null doc_id, whose class_id is null. Rows repeated with their
     doc_id are one document. Other columns are ignored; an empty table gives an empty
@@ -231,30 +232,34 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = materialize(_verified(first, sets, threshold), "links")
     found = connected_components(links)
     more = materialize(_verified(_apart(other.unionByName(small).distinct(), found), sets, threshold).unionByName(links), "links")
-    found = connected_components(more)
 
-    # third round: large buckets where a text is still apart from the smallest id are cut by a second band
-    crowd = met.filter(F.col("n") > SMALL_BUCKET).select("band", "key", "rep", "weight", F.col("least.rep").alias("least"))
-    crowd = crowd.join(found.select(F.col("node").alias("rep"), F.col("component").alias("ca")), "rep", "left").join(found.select(F.col("node").alias("least"), F.col("component").alias("cb")), "least", "left")
-    crowd = crowd.withColumn("apart", F.coalesce("ca", "rep") != F.coalesce("cb", "least")).drop("ca", "cb", "least")
-    crowd = materialize(crowd, "crowd")
-    if not crowd.filter("apart").isEmpty():
-        cut = crowd.filter("apart").select("band", "key").distinct()
-        second = met.select("rep", F.col("band").alias("band2"), F.col("key").alias("key2"))
-        inner = crowd.join(cut, ["band", "key"], "left_semi").join(second, "rep").filter("band <> band2")
-        spot = ["band", "key", "band2", "key2"]
-        sizes = inner.groupBy(*spot).agg(F.count("*").alias("m"), F.max("apart").alias("any"), F.min(F.struct(F.xxhash64("rep", "band", "band2").alias("h"), "rep", "weight")).alias("head")).filter("m > 1 AND any")
-        inner = materialize(join_by_group(inner, sizes, spot, "m", max(1, total)), "inner")
-        stars = inner.filter((F.col("rep") != F.col("head.rep")) & can_reach("weight", "head.weight")).select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b"))
-        few = inner.filter(F.col("m") <= CUT_BUCKET)
-        ones = few.filter("apart").select(*spot, "rep", "weight")
-        pairs = ones.join(few.select(*spot, F.col("rep").alias("rep2"), F.col("weight").alias("weight2")), spot).filter((F.col("rep") != F.col("rep2")) & can_reach("weight", "weight2"))
-        pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-        last = materialize(_verified(_apart(stars.unionByName(pairs).distinct(), found), sets, threshold).unionByName(more), "links")
-        found = connected_components(last)
-        release(inner)
-        release(last)
-    for table in (buckets, met, sets, links, more, crowd):
+    # third round: an original has larger buckets than its copies, which resemble each other less; in
+    # large buckets, texts that are not connected to the one that meets most others are compared with it
+    found = connected_components(more)
+    crowd = materialize(met.filter(F.col("n") > SMALL_BUCKET).select("band", "key", "rep", "weight"), "crowd")
+    meets = met.groupBy("rep").agg(F.sum("n").alias("meets"))
+    hubs = crowd.join(meets, "rep").groupBy("band", "key").agg(F.max(F.struct("meets", "rep", "weight")).alias("hub"), F.count("*").alias("n"))
+    third = join_by_group(crowd, hubs, ["band", "key"], "n", max(1, total)).filter((F.col("rep") != F.col("hub.rep")) & can_reach("weight", "hub.weight"))
+    third = _apart(third.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct(), found)
+    linked = materialize(_verified(third, sets, threshold).unionByName(more), "links")
+
+    # fourth round: large buckets with texts that have no link at all are cut by a further band
+    lonely = materialize(crowd.join(linked.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_anti"), "lonely")
+    second = met.select(F.col("rep").alias("rep2"), F.col("band").alias("band2"), F.col("key").alias("key2"))
+    inner = crowd.join(lonely.select("band", "key").distinct(), ["band", "key"], "left_semi").join(lonely.select("rep", F.lit(True).alias("apart")).distinct(), "rep", "left")
+    inner = inner.join(second, (F.col("rep") == F.col("rep2")) & F.pmod(F.col("band2") - F.col("band"), F.lit(BANDS)).between(1, SECOND_BANDS)).drop("rep2")
+    spot = ["band", "key", "band2", "key2"]
+    head = F.min(F.struct(F.xxhash64("rep", "band", "band2").alias("h"), "rep", "weight")).alias("head")
+    parts = inner.groupBy(*spot).agg(F.count("*").alias("m"), F.max("apart").alias("any"), head).filter("m > 1 AND any")
+    inner = materialize(join_by_group(inner, parts, spot, "m", max(1, total)), "inner")
+    ones = inner.filter("apart")
+    stars = ones.filter((F.col("rep") != F.col("head.rep")) & can_reach("weight", "head.weight")).select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b"))
+    few = inner.filter(F.col("m") <= SMALL_BUCKET).select(*spot, F.col("rep").alias("rep2"), F.col("weight").alias("weight2"))
+    pairs = ones.join(few, spot).filter((F.col("rep") != F.col("rep2")) & can_reach("weight", "weight2"))
+    pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+    last = materialize(_verified(stars.unionByName(pairs).distinct(), sets, threshold).unionByName(linked), "links")
+    found = connected_components(last)
+    for table in (buckets, met, sets, links, more, crowd, linked, lonely, inner, last):
         release(table)
 
     grouped = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("class_id"))
