@@ -30,7 +30,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 SMALL_BUCKET = 12  # buckets up to this size are compared pair by pair
-SECOND_BANDS = 5  # larger ones are cut by each of so many following bands
+SECOND = ["next", "after_next"]  # larger ones are cut by the keys of the following bands
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     total = signed.count()
     classes = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     nodes = signed.join(classes.select(F.col("digest").alias("_digest"), F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nodes = nodes.select(F.col("doc_id").alias("rep"), "weight", F.posexplode("bands").alias("band", "key"))
+    nodes = nodes.select(F.col("doc_id").alias("rep"), "weight", "bands", F.posexplode("bands").alias("band", "key"))
+    nodes = nodes.select("rep", "weight", "band", "key", *[F.element_at("bands", F.pmod(F.col("band") + k, F.lit(BANDS)) + 1).alias(after) for k, after in enumerate(SECOND, 1)])
     seed = F.struct(F.xxhash64("rep", "band").alias("h"), "rep", "weight")
     buckets = nodes.groupBy("band", "key").agg(F.min(F.struct("rep", "weight")).alias("least"), F.min(seed).alias("leader"), F.count("*").alias("n"))
     buckets = materialize(buckets.filter("n > 1"), "buckets")
@@ -236,30 +237,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # third round: an original has larger buckets than its copies, which resemble each other less; in
     # large buckets, texts that are not connected to the one that meets most others are compared with it
     found = connected_components(more)
-    crowd = materialize(met.filter(F.col("n") > SMALL_BUCKET).select("band", "key", "rep", "weight"), "crowd")
+    crowd = materialize(met.filter(F.col("n") > SMALL_BUCKET).select("band", "key", "rep", "weight", *SECOND), "crowd")
     meets = met.groupBy("rep").agg(F.sum("n").alias("meets"))
     hubs = crowd.join(meets, "rep").groupBy("band", "key").agg(F.max(F.struct("meets", "rep", "weight")).alias("hub"), F.count("*").alias("n"))
     third = join_by_group(crowd, hubs, ["band", "key"], "n", max(1, total)).filter((F.col("rep") != F.col("hub.rep")) & can_reach("weight", "hub.weight"))
     third = _apart(third.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct(), found)
     linked = materialize(_verified(third, sets, threshold).unionByName(more), "links")
 
-    # fourth round: large buckets with texts that have no link at all are cut by a further band
-    lonely = materialize(crowd.join(linked.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_anti"), "lonely")
-    second = met.select(F.col("rep").alias("rep2"), F.col("band").alias("band2"), F.col("key").alias("key2"))
-    inner = crowd.join(lonely.select("band", "key").distinct(), ["band", "key"], "left_semi").join(lonely.select("rep", F.lit(True).alias("apart")).distinct(), "rep", "left")
-    inner = inner.join(second, (F.col("rep") == F.col("rep2")) & F.pmod(F.col("band2") - F.col("band"), F.lit(BANDS)).between(1, SECOND_BANDS)).drop("rep2")
-    spot = ["band", "key", "band2", "key2"]
-    head = F.min(F.struct(F.xxhash64("rep", "band", "band2").alias("h"), "rep", "weight")).alias("head")
-    parts = inner.groupBy(*spot).agg(F.count("*").alias("m"), F.max("apart").alias("any"), head).filter("m > 1 AND any")
-    inner = materialize(join_by_group(inner, parts, spot, "m", max(1, total)), "inner")
-    ones = inner.filter("apart")
-    stars = ones.filter((F.col("rep") != F.col("head.rep")) & can_reach("weight", "head.weight")).select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b"))
-    few = inner.filter(F.col("m") <= SMALL_BUCKET).select(*spot, F.col("rep").alias("rep2"), F.col("weight").alias("weight2"))
-    pairs = ones.join(few, spot).filter((F.col("rep") != F.col("rep2")) & can_reach("weight", "weight2"))
-    pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-    last = materialize(_verified(stars.unionByName(pairs).distinct(), sets, threshold).unionByName(linked), "links")
+    # fourth round: large buckets with texts that have no link at all are cut by a following band's key
+    links_of = linked.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("linked", F.lit(True))
+    marked = crowd.join(links_of, "rep", "left").withColumn("apart", F.col("linked").isNull()).drop("linked")
+    inner = materialize(marked.join(marked.filter("apart").select("band", "key").distinct(), ["band", "key"], "left_semi"), "inner")
+    wanted = None
+    for after in SECOND:
+        spot = ["band", "key", after]
+        parts = inner.groupBy(*spot).agg(F.count("*").alias("m"), F.max("apart").alias("any"), F.min(F.struct(F.xxhash64("rep", *spot[::2]).alias("h"), "rep", "weight")).alias("head")).filter("m > 1 AND any")
+        rows = join_by_group(inner, parts, spot, "m", max(1, total))
+        stars = rows.filter(F.col("apart") & (F.col("rep") != F.col("head.rep")) & can_reach("weight", "head.weight")).select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b"))
+        few = rows.filter(F.col("m") <= SMALL_BUCKET)
+        pairs = few.filter("apart").join(few.select(*spot, F.col("rep").alias("rep2"), F.col("weight").alias("weight2")), spot).filter((F.col("rep") != F.col("rep2")) & can_reach("weight", "weight2"))
+        found = stars.unionByName(pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")))
+        wanted = found if wanted is None else wanted.unionByName(found)
+    last = materialize(_verified(wanted.distinct(), sets, threshold).unionByName(linked), "links")
     found = connected_components(last)
-    for table in (buckets, met, sets, links, more, crowd, linked, lonely, inner, last):
+    for table in (buckets, met, sets, links, more, crowd, linked, inner, last):
         release(table)
 
     grouped = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("class_id"))
