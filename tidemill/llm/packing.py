@@ -53,8 +53,8 @@ class Tokenization:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.latin = PretokenTable(self._joined, {}, lambda text: _PRETOKEN.findall(text.lower()), 500_000)
-        self.other = PretokenTable(self._single, {}, _WORD.findall, 200_000)
+        self.latin = PretokenTable(self._joined, {}, lambda text: _PRETOKEN.findall(text.lower()), 350_000)
+        self.other = PretokenTable(self._single, {}, _WORD.findall, 100_000)
 
     def _single(self, words: list[str]):
         ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]

@@ -42,7 +42,7 @@ from tidemill.llm.common import documents, give_back, id_and_text, own_worker, p
 from tidemill.llm.polyhash import ODD, mix, prefix_hashes, span_hashes, window_hashes
 
 LENGTH, GRAM = 50, 26
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20  # text a chunk holds; text whose segments a bucket gets
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20  # text a chunk holds; text whose segments a bucket gets
 CROWD = 64  # contents of a mark that one chunk may name
 SLICE = 4 << 20  # bytes of a long text that are hashed at once
 WINDOW_BYTES = 1 << 20  # windows verified at once
