@@ -169,6 +169,29 @@ def test_a_crowd_that_only_resembles_one_text(docs):
     assert got == want
 
 
+def _family(n, edits, seed):
+    """n different near copies of a text of 300 words, without the text itself."""
+    rng = random.Random(seed)
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+    return [(k, _near(base, edits, 1000 * seed + k)) for k in range(n)]
+
+
+def test_a_large_family_without_its_original(docs):
+    """Links of large buckets that avoid the texts all others are compared with first."""
+    rows = _family(500, 5, 3)
+    want = _brute_near(rows)
+    assert {i: r["class_id"] for i, r in by_id(minhash_dedup.near_duplicates(docs(rows))).items()} == want
+
+
+def test_linked_pairs_of_two_blocks():
+    owner, cell = minhash_dedup.cells([t for _, t in _family(60, 3, 7)] + ["one two three"] * 2)
+    sets = [np.sort(cell[owner == k]) for k in range(62)]
+    low, high = np.arange(0, 62, 2), np.arange(1, 62, 2)
+    both = lambda x, y: len(set(sets[x].tolist()) & set(sets[y].tolist()))
+    want = {(x, y) for x in low for y in high if both(x, y) >= 0.8 * (len(sets[x]) + len(sets[y]) - both(x, y)) - 1e-9}
+    assert set(zip(*minhash_dedup.linked_pairs(sets, low, high, 0.8), strict=True)) == want and len(want) > 5
+
+
 def test_near_duplicates_of_odd_rows(docs):
     rows = [(1, None), (2, ""), (3, "!!"), (4, "one two"), (5, "One, two."), (6, "one two three"), (7, "same row " * 9), (7, "same row " * 9), (None, "one two")]
     got = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs(rows)).collect()), key=repr)

@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import polyhash
 from tidemill.llm.common import by_bytes, documents, id_and_text, join_by_group, materialize, own_worker, prepare, release, small_batches
-from tidemill.llm.components import connected_components
+from tidemill.llm.components import connected_components, forest
 from tidemill.llm.polyhash import ODD, mix, prefix_hashes, span_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 K = BANDS * ROWS
-SMALL_BUCKET = 12  # buckets up to this size are compared pair by pair
-SECOND = ["next", "after_next"]  # larger ones are cut by the keys of the following bands
+SMALL_BUCKET = 12  # buckets up to this size are listed pair by pair
+BLOCK = 1024  # texts of a larger bucket that are compared at once,
+BLOCK_CELLS = 1 << 19  # with about so many cells
+SLOT_ROWS = 1024  # rows that a task's group of buckets has on average
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
@@ -181,6 +183,71 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "cells_a", "cells_b").mapInArrow(batches, "a long, b long")
 
 
+def linked_pairs(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i of low, j of high) whose weighted Jaccard similarity, on all cells,
+    reaches the threshold. What two texts share is counted by products of 0/1 matrices
+    over the cells that occur more than once, a slice of those at a time."""
+    weight = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), weight)
+    _, cell, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    keep = shared[cell]
+    row, cell = row[keep], (np.cumsum(shared) - 1)[cell[keep]]
+    order = np.argsort(cell, kind="stable")
+    row, cell = row[order], cell[order]
+    place = np.full((2, len(sets)), -1)
+    place[0, low], place[1, high] = np.arange(len(low)), np.arange(len(high))
+    both = np.zeros((len(low), len(high)), np.float32)  # exact up to 2**24 cells
+    n = int(shared.sum())
+    for a in range(0, n, 4096):
+        r, c = (x[np.searchsorted(cell, a) : np.searchsorted(cell, a + 4096)] for x in (row, cell))
+        sides = []
+        for at, size in zip(place, both.shape, strict=True):
+            side = np.zeros((size, min(4096, n - a)), np.float32)
+            own = at[r] >= 0
+            side[at[r[own]], c[own] - a] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    union = weight[low][:, None] + weight[high][None, :] - both
+    i, j = np.nonzero(both >= threshold * union - 1e-9)
+    return low[i], high[j]
+
+
+def _block_edges(crowd: DataFrame, sets: DataFrame, threshold: float, total: int) -> DataFrame:
+    """Edges (a, b) that join the components of crowd (band, key, rep, weight, component)
+    as all links between texts of a bucket do: every pair of texts of a bucket that has
+    several components is compared, in blocks; a task emits a spanning forest."""
+    sizes = crowd.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("weight").alias("cells"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
+    sizes = materialize(sizes.select("band", "key", "n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("cells") / BLOCK_CELLS)).cast("int").alias("blocks")), "mixed")
+    entries = join_by_group(crowd, sizes, ["band", "key"], "n", max(1, total))
+    entries = entries.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    entries = entries.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    slots = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // SLOT_ROWS))
+    # a slot holds several buckets, or one pair of blocks of a large one
+    slot = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("band", "key"), F.lit(slots))).otherwise(F.xxhash64("band", "key", "low", "high"))
+    entries = entries.select(slot.alias("slot"), "band", "key", "low", "high", "block", "component", F.col("rep").alias("doc_id")).join(sets, "doc_id")
+
+    def compare(group: pa.Table) -> pa.Table:
+        own_worker("minhash", polyhash.forget)
+        frame = group.drop_columns(["cells"]).to_pandas()
+        component, block = frame["component"].to_numpy(), frame["block"].to_numpy()
+        cells_of = group["cells"].combine_chunks()
+        edges = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for (_, _, low, high), at in frame.groupby(["band", "key", "low", "high"], sort=False).indices.items():
+            if (component[at] == component[at[0]]).all():
+                continue
+            found = [np.frombuffer(cells_of[int(k)].as_buffer(), np.uint64) for k in at]
+            i, j = linked_pairs(found, np.flatnonzero(block[at] == low), np.flatnonzero(block[at] == high), threshold)
+            edges.append((component[at[i]], component[at[j]]))
+        nodes, roots = forest(*(np.concatenate(x) for x in zip(*edges, strict=True)))
+        own = nodes != roots
+        return pa.table({"a": pa.array(nodes[own], pa.int64()), "b": pa.array(roots[own], pa.int64())})
+
+    edges = materialize(entries.groupBy("slot").applyInArrow(compare, "a long, b long"), "edges")
+    release(sizes)
+    return edges
+
+
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs (a, b) that the components found so far do not connect."""
     both = pairs.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -196,13 +263,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copies cost nothing. In a band's bucket every text is compared with the bucket's
     smallest id; then, where two texts are not yet connected, with another leader in
     each band, and buckets of up to SMALL_BUCKET texts pair by pair. In larger buckets,
-    texts that are not connected to the text that meets most others are compared with it; and
-    where texts have no link at all, the bucket is cut by further bands, and they are
-    compared with a leader of each part and all of parts up to SMALL_BUCKET texts. Texts without a
-    word (null and empty ones too) have no shingles, link with nothing and are kept,
-    as is a row with a null doc_id, whose class_id is null. Rows repeated with their
-    doc_id are one document. Other columns are ignored; an empty table gives an empty
-    result.
+    texts that are not connected to the text that meets most others are compared with it;
+    and all pairs of a bucket that still holds several components are compared, in blocks:
+    no two texts that meet in a band stay apart unless their similarity is below the
+    threshold. The work in a large bucket of texts that are not all connected is quadratic
+    in its size; no pairs leave a task. Texts without a word (null and empty ones too) have
+    no shingles, link with nothing and are kept, as is a row with a null doc_id, whose
+    class_id is null. Rows repeated with their doc_id are one document. Other columns are
+    ignored; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     docs = id_and_text(docs)
@@ -210,8 +278,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     total = signed.count()
     classes = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     nodes = signed.join(classes.select(F.col("digest").alias("_digest"), F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nodes = nodes.select(F.col("doc_id").alias("rep"), "weight", "bands", F.posexplode("bands").alias("band", "key"))
-    nodes = nodes.select("rep", "weight", "band", "key", *[F.element_at("bands", F.pmod(F.col("band") + k, F.lit(BANDS)) + 1).alias(after) for k, after in enumerate(SECOND, 1)])
+    nodes = nodes.select(F.col("doc_id").alias("rep"), "weight", F.posexplode("bands").alias("band", "key"))
     seed = F.struct(F.xxhash64("rep", "band").alias("h"), "rep", "weight")
     buckets = nodes.groupBy("band", "key").agg(F.min(F.struct("rep", "weight")).alias("least"), F.min(seed).alias("leader"), F.count("*").alias("n"))
     buckets = materialize(buckets.filter("n > 1"), "buckets")
@@ -237,30 +304,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # third round: an original has larger buckets than its copies, which resemble each other less; in
     # large buckets, texts that are not connected to the one that meets most others are compared with it
     found = connected_components(more)
-    crowd = materialize(met.filter(F.col("n") > SMALL_BUCKET).select("band", "key", "rep", "weight", *SECOND), "crowd")
+    crowd = materialize(met.filter(F.col("n") > SMALL_BUCKET).select("band", "key", "rep", "weight"), "crowd")
     meets = met.groupBy("rep").agg(F.sum("n").alias("meets"))
     hubs = crowd.join(meets, "rep").groupBy("band", "key").agg(F.max(F.struct("meets", "rep", "weight")).alias("hub"), F.count("*").alias("n"))
     third = join_by_group(crowd, hubs, ["band", "key"], "n", max(1, total)).filter((F.col("rep") != F.col("hub.rep")) & can_reach("weight", "hub.weight"))
     third = _apart(third.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct(), found)
     linked = materialize(_verified(third, sets, threshold).unionByName(more), "links")
 
-    # fourth round: large buckets with texts that have no link at all are cut by a following band's key
-    links_of = linked.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("linked", F.lit(True))
-    marked = crowd.join(links_of, "rep", "left").withColumn("apart", F.col("linked").isNull()).drop("linked")
-    inner = materialize(marked.join(marked.filter("apart").select("band", "key").distinct(), ["band", "key"], "left_semi"), "inner")
-    wanted = None
-    for after in SECOND:
-        spot = ["band", "key", after]
-        parts = inner.groupBy(*spot).agg(F.count("*").alias("m"), F.max("apart").alias("any"), F.min(F.struct(F.xxhash64("rep", *spot[::2]).alias("h"), "rep", "weight")).alias("head")).filter("m > 1 AND any")
-        rows = join_by_group(inner, parts, spot, "m", max(1, total))
-        stars = rows.filter(F.col("apart") & (F.col("rep") != F.col("head.rep")) & can_reach("weight", "head.weight")).select(F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b"))
-        few = rows.filter(F.col("m") <= SMALL_BUCKET)
-        pairs = few.filter("apart").join(few.select(*spot, F.col("rep").alias("rep2"), F.col("weight").alias("weight2")), spot).filter((F.col("rep") != F.col("rep2")) & can_reach("weight", "weight2"))
-        found = stars.unionByName(pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")))
-        wanted = found if wanted is None else wanted.unionByName(found)
-    last = materialize(_verified(wanted.distinct(), sets, threshold).unionByName(linked), "links")
+    # last round: in large buckets that still hold several components, all pairs are compared
+    found = connected_components(linked)
+    marked = crowd.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    marked = materialize(marked, "marked")
+    edges = _block_edges(marked, sets, threshold, total)
+    last = materialize(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edges), "links")
     found = connected_components(last)
-    for table in (buckets, met, sets, links, more, crowd, linked, inner, last):
+    for table in (buckets, met, sets, links, more, crowd, linked, marked, edges, last):
         release(table)
 
     grouped = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("class_id"))
