@@ -183,6 +183,16 @@ def test_a_large_family_without_its_original(docs):
     assert {i: r["class_id"] for i, r in by_id(minhash_dedup.near_duplicates(docs(rows))).items()} == want
 
 
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 40}, {"BLOCK_CELLS": 5000}])
+def test_components_that_meet_in_a_large_bucket_are_joined(docs, limits, monkeypatch):
+    """Several found components, each with links, of one class; also with buckets cut into blocks."""
+    for name, value in limits.items():
+        monkeypatch.setattr(minhash_dedup, name, value)
+    rows = _family(400, 4, 5)
+    want = _brute_near(rows)
+    assert {i: r["class_id"] for i, r in by_id(minhash_dedup.near_duplicates(docs(rows))).items()} == want
+
+
 def test_linked_pairs_of_two_blocks():
     owner, cell = minhash_dedup.cells([t for _, t in _family(60, 3, 7)] + ["one two three"] * 2)
     sets = [np.sort(cell[owner == k]) for k in range(62)]
