@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 import __spark_entry__ as entry_point
 import corpus_pipeline
 from tests.llm.conftest import SF
-from tests.llm.test_dedup import _brute_near, _brute_repeats, _near, _passages
+from tests.llm.test_dedup import _brute_near, _brute_repeats, _family, _near, _passages
 from tidemill.llm import packing
 from tidemill.llm.common import documents, materialize
 
@@ -67,6 +67,13 @@ def test_each_stage_equals_brute_force(staged):
     assert pieces == {d: [*lib.encode(t, add_special_tokens=False).ids, packing.END_ID] for d, t in four.items()}
 
 
+def test_one_document_of_a_large_family_stays(spark, docs):
+    """Different near copies, without the text that they come from."""
+    rows = _family(500, 5, 3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs(rows), "")
+    assert {r["doc_id"] for r in kept.collect()} == set(_brute_near(rows).values())
+
+
 def test_all_but_the_last_stage_return_documents(staged):
     _, _, stages = staged
     for name, df in list(stages.items())[:-1]:
