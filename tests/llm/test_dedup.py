@@ -193,20 +193,62 @@ def test_components_that_meet_in_a_large_bucket_are_joined(docs, limits, monkeyp
     assert {i: r["class_id"] for i, r in by_id(minhash_dedup.near_duplicates(docs(rows))).items()} == want
 
 
-def test_linked_pairs_of_two_blocks():
-    owner, cell = minhash_dedup.cells([t for _, t in _family(60, 3, 7)] + ["one two three"] * 2)
-    sets = [np.sort(cell[owner == k]) for k in range(62)]
-    low, high = np.arange(0, 62, 2), np.arange(1, 62, 2)
+@pytest.mark.parametrize("start", ["apart", "halves"])
+def test_joining_links_join_what_all_links_join(start):
+    owner, cell = minhash_dedup.cells([t for _, t in _family(60, 5, 7) + _family(20, 30, 8) + _family(30, 1, 9)] + ["one two three"] * 2)
+    sets = [np.sort(cell[owner == k]) for k in range(112)]
+    component = np.arange(112) if start == "apart" else np.arange(112) % 40
     both = lambda x, y: len(set(sets[x].tolist()) & set(sets[y].tolist()))
-    want = {(x, y) for x in low for y in high if both(x, y) >= 0.8 * (len(sets[x]) + len(sets[y]) - both(x, y)) - 1e-9}
-    assert set(zip(*minhash_dedup.linked_pairs(sets, low, high, 0.8), strict=True)) == want and len(want) > 5
+    links = [(x, y) for x in range(112) for y in range(x) if both(x, y) >= 0.8 * (len(sets[x]) + len(sets[y]) - both(x, y)) - 1e-9]
+    found = minhash_dedup.joining_links(sets, component, 0.8)
+    assert {(max(x), min(x)) for x in found} <= set(links)
+    known = [(k, int(np.flatnonzero(component == c)[0])) for k, c in enumerate(component)]
+    assert _brute_components(known + found) == _brute_components(known + links)
+
+
+def _template(n, fixed, own, seed):
+    """n texts that share `fixed` words of one template; pairs share `own` further ones."""
+    rng = random.Random(seed)
+    head = [f"t{k}" for k in range(fixed)]
+    rows = []
+    for k in range(n):
+        pair = random.Random(seed * 1000 + k // 2)
+        rows.append((k, " ".join(head + [f"p{pair.randrange(10**9)}" for _ in range(own)] + [f"x{rng.randrange(10**9)}" for _ in range(27 - own)])))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK": 60}])
+def test_every_link_of_a_template_family_is_found(docs, limits, monkeypatch):
+    """Hundreds of texts of one template: strangers stay just under the threshold and meet
+    in crowded buckets, each text has one partner just over it."""
+    for name, value in limits.items():
+        monkeypatch.setattr(minhash_dedup, name, value)
+    rows = _template(400, 204, 3, 4)
+    want = _brute_near(rows)
+    assert len(set(want.values())) == 200
+    assert {i: r["class_id"] for i, r in by_id(minhash_dedup.near_duplicates(docs(rows))).items()} == want
 
 
 def test_near_duplicates_of_odd_rows(docs):
     rows = [(1, None), (2, ""), (3, "!!"), (4, "one two"), (5, "One, two."), (6, "one two three"), (7, "same row " * 9), (7, "same row " * 9), (None, "one two")]
     got = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs(rows)).collect()), key=repr)
     assert got == sorted([(1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (6, 6, True), (7, 7, True), (7, 7, True), (None, None, True)], key=repr)
-    assert minhash_dedup.near_duplicates(docs([])).count() == 0
+    assert minhash_dedup.near_duplicates(docs([])).count() == minhash_dedup.drop_near_duplicates(docs([])).count() == 0
+
+
+def test_rows_that_share_an_id_are_one_document(docs):
+    a, b, c = (t for _, t in _family(1, 0, 1) + _family(1, 0, 2) + _family(1, 0, 3))
+    rows = [(1, a), (2, b), (3, a), (3, b), (3, None), (4, _near(b, 1, 1)), (5, c), (5, c), (6, _near(c, 1, 2))]
+    got = sorted((r["doc_id"], r["class_id"]) for r in minhash_dedup.near_duplicates(docs(rows)).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (3, 1), (3, 1), (4, 1), (5, 5), (5, 5), (6, 5)]
+    assert sorted(r["doc_id"] for r in minhash_dedup.drop_near_duplicates(docs(rows)).collect()) == [1, 5, 5]
+
+
+def test_near_copies_of_a_very_long_text(docs):
+    rng = random.Random(6)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300_000))
+    got = by_id(minhash_dedup.near_duplicates(docs([(1, text), (2, text + " more"), (3, text[: len(text) // 2])])))
+    assert [got[k]["class_id"] for k in (1, 2, 3)] == [1, 1, 3]
 
 
 def test_near_duplicate_query_equals_brute_force(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,32 +38,56 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Only
-    where the session names none (tests on one machine) a temporary one is made."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where the
+    session names none, a temporary one is made, but only on a local master: on a
+    cluster each executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+_written: list[str] = []  # the tables that materialize() made and nothing has deleted
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage is
-    cut, nothing depends on an executor's disk, and later reads prune columns."""
+    cut, nothing depends on an executor's disk, and later reads prune columns. All
+    tables of an application lie in one folder."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialize() made and nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._table)
+
+
+def _delete(spark: SparkSession, table: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if table in _written:
+        _written.remove(table)
+
+
+def release_since(spark: SparkSession, mark: int, *but: DataFrame) -> None:
+    """Delete the tables written since written() was `mark`, except those named: what an
+    operator's lazy result still reads can only go once that result is written."""
+    for table in [t for t in _written[mark:] if t not in [df._table for df in but]]:
+        _delete(spark, table)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a table that materialize() made and nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidemill/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def written() -> int:
+    return len(_written)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,11 +100,17 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """At most `most` rows of df, chosen by a hash of the keys. A count sets a threshold
-    first, so that about twice as many rows reach the final sort however long df is."""
-    n, h = df.count(), F.xxhash64(*keys)
-    if n > 2 * most:
-        df = df.filter(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * most / n))
+    """The `most` rows of df with the smallest hash of the keys (all rows, if there are
+    fewer). A count sets a threshold first, so that about twice as many rows reach the
+    final sort however long df is; where too few pass it, because keys repeat, it is
+    widened."""
+    n, h = df.count(), F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    share = 2 * most / max(1, n)
+    while share < 1:
+        near = df.filter(h < int((1 << 40) * share))
+        if near.count() >= most:
+            return near.orderBy(h, *keys).limit(most)
+        share *= 8
     return df.orderBy(h, *keys).limit(most)
 
 
@@ -129,15 +160,33 @@ def by_bytes(texts, limit: int = 4 << 20):
         yield start, len(texts)
 
 
-def join_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int, hot_share: int = 256, how: str = "inner") -> DataFrame:
+HOT_ROWS = 1 << 20  # rows of one key that a task of a shuffled join may get
+HOT_KEYS = 1 << 17  # keys that may be broadcast
+
+
+def join_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int, how: str = "inner") -> DataFrame:
     """Equi-join rows with groups (one row per key combination, size_col = number
     of rows that carry it), safe for hot keys.
 
-    Groups holding over total/hot_share rows are at most hot_share in number (a
-    proven bound), so they are broadcast and their rows never move. All other
-    keys are small by definition and go through an ordinary shuffled join.
+    Groups over a limit are broadcast, so that their rows never move. The limit is
+    1/256 of all rows, but HOT_ROWS at most as long as that leaves no more than
+    HOT_KEYS such groups: total / limit bounds how many there can be. All other keys
+    are small by definition and go through an ordinary shuffled join.
     """
-    limit = max(1, total // hot_share)
+    limit = hot_limit(total)
     hot = F.broadcast(groups.filter(F.col(size_col) > limit))
     cold = groups.filter(F.col(size_col) <= limit)
     return rows.join(hot, keys, how).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
+
+
+def hot_limit(total: int) -> int:
+    return max(1, min(total // 256, max(HOT_ROWS, total // HOT_KEYS)))
+
+
+SMALL_ROWS = 1 << 20  # ids that may be broadcast
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose key is in ids: a broadcast if ids, a materialized table, has at
+    most SMALL_ROWS rows, else a shuffled join, which splits hot keys of rows."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids, on, "left_semi")

@@ -86,8 +86,9 @@ def connected_components(edges: DataFrame, edges_per_task: int = 1_000_000) -> D
     prepare(edges.sparkSession)
     found = _contract(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b"), edges_per_task)
     while not _is_star(found):
-        stars = materialize(_star(found, large=True), "large-star")
-        stars = materialize(_star(stars, large=False), "small-star")
-        release(found)
-        found = _contract(stars, edges_per_task)
+        large = materialize(_star(found, large=True), "large-star")
+        small = materialize(_star(large, large=False), "small-star")
+        release(found, large)
+        found = _contract(small, edges_per_task)
+        release(small)
     return found.select(F.col("a").alias("node"), F.col("b").alias("component")).distinct()

@@ -18,21 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import polyhash
-from tidemill.llm.common import by_bytes, documents, id_and_text, join_by_group, materialize, own_worker, prepare, release, small_batches
+from tidemill.llm.common import SMALL_ROWS, by_bytes, documents, id_and_text, join_by_group, materialize, only_ids, own_worker, prepare, release, small_batches
 from tidemill.llm.components import connected_components, forest
 from tidemill.llm.polyhash import ODD, mix, prefix_hashes, span_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 K = BANDS * ROWS
-SMALL_BUCKET = 12  # buckets up to this size are listed pair by pair
-BLOCK = 1024  # texts of a larger bucket that are compared at once,
+BLOCK = 1024  # texts that are compared at once,
 BLOCK_CELLS = 1 << 19  # with about so many cells
-SLOT_ROWS = 1024  # rows that a task's group of buckets has on average
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
@@ -114,8 +112,8 @@ def signatures(owner: np.ndarray, cell: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _digests(owner: np.ndarray, cell: np.ndarray, n: int) -> list[bytes]:
-    """A 128-bit digest of each text's set of cells."""
+def _digests(owner: np.ndarray, cell: np.ndarray, n: int) -> list[np.ndarray]:
+    """A 128-bit digest of each text's set of cells, in two halves."""
     sums = []
     for salt in (np.uint64(1), np.uint64(2)):
         total = np.zeros(n, np.uint64)
@@ -123,11 +121,18 @@ def _digests(owner: np.ndarray, cell: np.ndarray, n: int) -> list[bytes]:
             first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             total[owner[first]] = np.add.reduceat(mix(cell * ODD + salt), first)
         sums.append(total)
-    return [x.tobytes() for x in np.column_stack(sums)]
+    return sums
+
+
+def _two_longs(digests: list[np.ndarray]) -> list[pa.Array]:
+    return [pa.array(x.view(np.int64)) for x in digests]
+
+
+KEY = ["doc_id", "d0", "d1"]  # a text: a document's id and the digest of its weighted set
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, weight, digest and band keys of every document with at least a word."""
+    """Key, weight and band keys of every document with at least a word."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("minhash", polyhash.forget)
@@ -142,14 +147,14 @@ def _signed(docs: DataFrame) -> DataFrame:
                     key = mix(key * ODD + s[:, k])
                 weight = np.bincount(owner, minlength=n)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(key.view(np.int64)))
-                out = pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(weight, pa.int64()), pa.array(_digests(owner, cell, n), pa.binary()), bands], ["doc_id", "weight", "digest", "bands"])
+                out = pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], *_two_longs(_digests(owner, cell, n)), pa.array(weight, pa.int64()), bands], [*KEY, "weight", "bands"])
                 yield out.filter(pa.array(weight > 0))
 
-    return docs.mapInArrow(batches, "doc_id long, weight long, digest binary, bands array<long>")
+    return docs.mapInArrow(batches, "doc_id long, d0 long, d1 long, weight long, bands array<long>")
 
 
 def _cell_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the sorted 64-bit cells of each document."""
+    """Key and sorted 64-bit cells of each text."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("minhash", polyhash.forget)
@@ -157,182 +162,197 @@ def _cell_sets(docs: DataFrame) -> DataFrame:
             texts = batch.column("text").to_pylist()
             for lo, hi in by_bytes(texts, 1 << 19):
                 owner, cell = cells(texts[lo:hi])
+                digests = _digests(owner, cell, hi - lo)
                 order = np.lexsort((cell, owner))
                 ends = np.cumsum(np.bincount(owner, minlength=hi - lo))
                 sets = [x.tobytes() for x in np.split(cell[order], ends[:-1])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(sets, pa.binary())], ["doc_id", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], *_two_longs(digests), pa.array(sets, pa.binary())], [*KEY, "cells"])
 
-    return docs.mapInArrow(batches, "doc_id long, cells binary")
+    return docs.mapInArrow(batches, "doc_id long, d0 long, d1 long, cells binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity, on all shingles, reaches the
-    threshold. A pair whose weights alone rule that out is dropped before the join."""
+def joining_links(sets: list[np.ndarray], component: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join the components exactly as all links between these texts
+    would; sets are the texts' cells.
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_worker("minhash", polyhash.forget)
-        for batch in small_batches(it, "cells_a"):
-            keep = []
-            for x, y in zip(batch.column("cells_a").to_pylist(), batch.column("cells_b").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(both >= threshold * (len(u) + len(v) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("cells").alias("cells_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("cells").alias("cells_b")), "b")
-    return both.select("a", "b", "cells_a", "cells_b").mapInArrow(batches, "a long, b long")
-
-
-def linked_pairs(sets: list[np.ndarray], low: np.ndarray, high: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (i of low, j of high) whose weighted Jaccard similarity, on all cells,
-    reaches the threshold. What two texts share is counted by products of 0/1 matrices
-    over the cells that occur more than once, a slice of those at a time."""
-    weight = np.array([len(x) for x in sets])
-    row = np.repeat(np.arange(len(sets)), weight)
+    Texts are compared one at a time with all that are in another component and were
+    not yet such a text themselves: first the text that shares most with the others
+    (an original, if it is there), then those of the smallest components, until all
+    that are left are of one component. A family that holds together costs a few
+    comparisons a text; texts that are all apart cost every pair, as they must. A link
+    needs `threshold` of a text's cells to be shared, so texts that share less with
+    all others together take no part.
+    """
+    n, weight = len(sets), np.array([len(x) for x in sets])
     _, cell, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), weight)
     shared = times > 1
     keep = shared[cell]
     row, cell = row[keep], (np.cumsum(shared) - 1)[cell[keep]]
-    order = np.argsort(cell, kind="stable")
-    row, cell = row[order], cell[order]
-    place = np.full((2, len(sets)), -1)
-    place[0, low], place[1, high] = np.arange(len(low)), np.arange(len(high))
-    both = np.zeros((len(low), len(high)), np.float32)  # exact up to 2**24 cells
-    n = int(shared.sum())
-    for a in range(0, n, 4096):
-        r, c = (x[np.searchsorted(cell, a) : np.searchsorted(cell, a + 4096)] for x in (row, cell))
-        sides = []
-        for at, size in zip(place, both.shape, strict=True):
-            side = np.zeros((size, min(4096, n - a)), np.float32)
-            own = at[r] >= 0
-            side[at[r[own]], c[own] - a] = 1
-            sides.append(side)
-        both += sides[0] @ sides[1].T
-    union = weight[low][:, None] + weight[high][None, :] - both
-    i, j = np.nonzero(both >= threshold * union - 1e-9)
-    return low[i], high[j]
-
-
-def _block_edges(crowd: DataFrame, sets: DataFrame, threshold: float, total: int) -> DataFrame:
-    """Edges (a, b) that join the components of crowd (band, key, rep, weight, component)
-    as all links between texts of a bucket do: every pair of texts of a bucket that has
-    several components is compared, in blocks; a task emits a spanning forest."""
-    sizes = crowd.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("weight").alias("cells"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
-    sizes = materialize(sizes.select("band", "key", "n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("cells") / BLOCK_CELLS)).cast("int").alias("blocks")), "mixed")
-    entries = join_by_group(crowd, sizes, ["band", "key"], "n", max(1, total))
-    entries = entries.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    entries = entries.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    slots = max(1, -(-(sizes.agg(F.sum("n")).first()[0] or 0) // SLOT_ROWS))
-    # a slot holds several buckets, or one pair of blocks of a large one
-    slot = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("band", "key"), F.lit(slots))).otherwise(F.xxhash64("band", "key", "low", "high"))
-    entries = entries.select(slot.alias("slot"), "band", "key", "low", "high", "block", "component", F.col("rep").alias("doc_id")).join(sets, "doc_id")
+    begin = np.searchsorted(row, np.arange(n + 1))
+    comp = np.unique(component, return_inverse=True)[1]
+    waiting = np.diff(begin) >= threshold * weight - 1e-9
+    meets = np.bincount(row, times[shared][cell], n)
+    held = np.zeros(int(shared.sum()), bool)
+    out: list[tuple[int, int]] = []
+    first = True
+    while True:
+        w = np.flatnonzero(waiting)
+        size = np.bincount(comp[w], minlength=1)
+        if (size > 0).sum() < 2:
+            return out
+        p = int(w[meets[w].argmax()] if first else w[size[comp[w]].argmin()])
+        first = False
+        waiting[p] = False
+        rivals = w[comp[w] != comp[p]]
+        own = cell[begin[p] : begin[p + 1]]
+        held[own] = True
+        both = np.bincount(row[held[cell]], minlength=n)[rivals]
+        held[own] = False
+        hit = rivals[both >= threshold * (weight[p] + weight[rivals] - both) - 1e-9]
+        for c in np.unique(comp[hit]):
+            out.append((p, int(hit[comp[hit] == c][0])))
+        comp[np.isin(comp, comp[hit])] = comp[p]
+
+
+def _edges(entries: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """A materialized table of edges (a, b) between components. entries has slot (what
+    one task gets at once), part (what is compared within it), component and a text's
+    key; cells are fetched once per entry."""
 
     def compare(group: pa.Table) -> pa.Table:
         own_worker("minhash", polyhash.forget)
-        frame = group.drop_columns(["cells"]).to_pandas()
-        component, block = frame["component"].to_numpy(), frame["block"].to_numpy()
+        part, component = group["part"].to_numpy(), group["component"].to_numpy()
         cells_of = group["cells"].combine_chunks()
-        edges = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for (_, _, low, high), at in frame.groupby(["band", "key", "low", "high"], sort=False).indices.items():
-            if (component[at] == component[at[0]]).all():
-                continue
-            found = [np.frombuffer(cells_of[int(k)].as_buffer(), np.uint64) for k in at]
-            i, j = linked_pairs(found, np.flatnonzero(block[at] == low), np.flatnonzero(block[at] == high), threshold)
-            edges.append((component[at[i]], component[at[j]]))
-        nodes, roots = forest(*(np.concatenate(x) for x in zip(*edges, strict=True)))
+        order = np.lexsort((component, part))
+        edges = []
+        for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if component[at[0]] != component[at[-1]]:
+                found = [np.frombuffer(cells_of[int(k)].as_buffer(), np.uint64) for k in at]
+                edges += [(component[at[i]], component[at[j]]) for i, j in joining_links(found, component[at], threshold)]
+        a, b = np.array(edges, np.int64).reshape(-1, 2).T
+        nodes, roots = forest(a, b)
         own = nodes != roots
         return pa.table({"a": pa.array(nodes[own], pa.int64()), "b": pa.array(roots[own], pa.int64())})
 
-    edges = materialize(entries.groupBy("slot").applyInArrow(compare, "a long, b long"), "edges")
-    release(sizes)
+    rows = entries.join(sets, KEY).select("slot", "part", "component", "cells")
+    return materialize(rows.groupBy("slot").applyInArrow(compare, "a long, b long"), "edges")
+
+
+def _blocks(texts: Column, weight: Column) -> Column:
+    """The number of blocks that so many texts of this joint weight are dealt into."""
+    return F.greatest(F.ceil(texts / BLOCK), F.ceil(weight / BLOCK_CELLS)).cast("int")
+
+
+def _one_block_edges(met: DataFrame, sizes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """What links within blocks: a group that fits a block is compared whole; of a
+    larger one each block, together with the group's first text."""
+    total = sizes.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
+    slots = max(1, -(-(total["n"] or 0) // BLOCK), -(-(total["weight"] or 0) // BLOCK_CELLS))
+    rows = join_by_group(met, sizes.select("least", "n", "blocks", "lead"), ["least"], "n", total["n"] or 0)
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    block = F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("block", F.explode(F.when((F.struct(*KEY) == F.col("lead")) & (F.col("blocks") > 1), everywhere).otherwise(block)))
+    # a slot holds several groups, or one block of a large one
+    slot = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("least"), F.lit(slots))).otherwise(F.xxhash64("least", "block"))
+    return _edges(rows.select(slot.alias("slot"), F.xxhash64("least", "block").alias("part"), F.col("doc_id").alias("component"), *KEY), sets, threshold)
+
+
+def _block_pair_edges(met: DataFrame, large: DataFrame, found: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """What links across the blocks of large groups that still hold several components:
+    every text outside a group's largest component meets all other texts of the group."""
+    total = large.agg(F.sum("n")).first()[0]
+    rows = join_by_group(met, large.select("least", "n"), ["least"], "n", total).drop("n")
+    rows = rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    crowd = materialize(rows, "crowd")
+    parts = crowd.groupBy("least", "component").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    parts = parts.groupBy("least").agg(F.max(F.struct("n", "weight", "component")).alias("main"), F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.count("*").alias("parts"))
+    plan = parts.filter("parts > 1").select("least", "n", F.col("main.component").alias("main"), _blocks(F.col("n") - F.col("main.n"), F.col("weight") - F.col("main.weight")).alias("minor"), _blocks(F.col("main.n"), F.col("main.weight")).alias("major"))
+    plan = materialize(plan, "plan")
+    rows = join_by_group(crowd, plan, ["least"], "n", total)
+    place = lambda blocks: F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int")
+    upto = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
+    with_main = lambda i, j: F.struct(F.lit(1).alias("kind"), i.alias("i"), j.alias("j"))
+    among = F.transform(upto("minor"), lambda k: F.struct(F.lit(0).alias("kind"), F.least(k, place("minor")).alias("i"), F.greatest(k, place("minor")).alias("j")))
+    minor = F.concat(among, F.transform(upto("major"), lambda j: with_main(place("minor"), j)))
+    major = F.transform(upto("minor"), lambda i: with_main(i, place("major")))
+    rows = rows.withColumn("meet", F.explode(F.when(F.col("component") == F.col("main"), major).otherwise(minor)))
+    slot = F.xxhash64("least", "meet.kind", "meet.i", "meet.j")
+    edges = _edges(rows.select(slot.alias("slot"), slot.alias("part"), "component", *KEY), sets, threshold)
+    release(crowd, plan)
     return edges
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the components found so far do not connect."""
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id and kept for every row of docs: class_id is the smallest
     doc_id reachable over links, a link being a weighted Jaccard similarity of at
     least `threshold` on shingles of five words.
 
-    Documents with the same weighted set of shingles are one node of the graph, so
-    copies cost nothing. In a band's bucket every text is compared with the bucket's
-    smallest id; then, where two texts are not yet connected, with another leader in
-    each band, and buckets of up to SMALL_BUCKET texts pair by pair. In larger buckets,
-    texts that are not connected to the text that meets most others are compared with it;
-    and all pairs of a bucket that still holds several components are compared, in blocks:
-    no two texts that meet in a band stay apart unless their similarity is below the
-    threshold. The work in a large bucket of texts that are not all connected is quadratic
-    in its size; no pairs leave a task. Texts without a word (null and empty ones too) have
-    no shingles, link with nothing and are kept, as is a row with a null doc_id, whose
-    class_id is null. Rows repeated with their doc_id are one document. Other columns are
-    ignored; an empty table gives an empty result.
+    Texts with the same weighted set of shingles are one node of the graph, so copies
+    cost nothing. The texts of a bucket (a band's key) are a group, named by the
+    bucket's smallest id; buckets with the same smallest id are one group, so that a
+    pair is compared once and not once a band. All texts of a group are compared with
+    all others unless they are connected already: no two texts that meet in a band stay
+    apart if their similarity reaches the threshold. Groups are dealt in blocks of
+    bounded size; no pairs leave a task, only a spanning forest. The work in a large
+    group of texts that are not alike is quadratic in its size.
+
+    Texts without a word (null and empty ones too) have no shingles, link with nothing
+    and are kept, as is a row with a null doc_id, whose class_id is null. Rows that share
+    a doc_id are one document: its class joins those of all its texts, and all its rows
+    get the same result. Texts of any length are read whole. Other columns are ignored;
+    an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     docs = id_and_text(docs)
     signed = materialize(_signed(docs.filter("doc_id IS NOT NULL")), "signed")
     total = signed.count()
-    classes = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    nodes = signed.join(classes.select(F.col("digest").alias("_digest"), F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nodes = nodes.select(F.col("doc_id").alias("rep"), "weight", F.posexplode("bands").alias("band", "key"))
-    seed = F.struct(F.xxhash64("rep", "band").alias("h"), "rep", "weight")
-    buckets = nodes.groupBy("band", "key").agg(F.min(F.struct("rep", "weight")).alias("least"), F.min(seed).alias("leader"), F.count("*").alias("n"))
+    classes = signed.groupBy("d0", "d1").agg(F.min("doc_id").alias("doc_id"), F.max("weight").alias("weight"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    classes = materialize(classes, "classes")
+    nodes = classes.select(*KEY, "weight", F.posexplode("bands").alias("band", "key"))
+    buckets = nodes.groupBy("band", "key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     buckets = materialize(buckets.filter("n > 1"), "buckets")
-    met = materialize(join_by_group(nodes, buckets, ["band", "key"], "n", max(1, total)), "met")
-
-    def can_reach(x: str, y: str):
-        return F.least(x, y) >= F.lit(threshold) * F.greatest(x, y) - 1e-9
-
-    # first round: each text with the smallest id of its buckets
-    first = met.filter((F.col("rep") != F.col("least.rep")) & can_reach("weight", "least.weight")).select(F.col("least.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    # second round: other leaders, and all pairs of small buckets
-    other = met.filter((F.col("rep") != F.col("leader.rep")) & can_reach("weight", "leader.weight")).select(F.least("rep", "leader.rep").alias("a"), F.greatest("rep", "leader.rep").alias("b"))
-    small = met.filter((F.col("n") > 2) & (F.col("n") <= SMALL_BUCKET)).groupBy("band", "key").agg(F.sort_array(F.collect_list(F.struct("rep", "weight"))).alias("members"))
-    small = small.select("members", F.explode("members").alias("x")).select("x", F.explode("members").alias("y"))
-    small = small.filter((F.col("x.rep") < F.col("y.rep")) & can_reach("x.weight", "y.weight")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-
-    involved = met.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(_cell_sets(docs.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"])), "cells")
-    links = materialize(_verified(first, sets, threshold), "links")
-    found = connected_components(links)
-    more = materialize(_verified(_apart(other.unionByName(small).distinct(), found), sets, threshold).unionByName(links), "links")
-
-    # third round: an original has larger buckets than its copies, which resemble each other less; in
-    # large buckets, texts that are not connected to the one that meets most others are compared with it
-    found = connected_components(more)
-    crowd = materialize(met.filter(F.col("n") > SMALL_BUCKET).select("band", "key", "rep", "weight"), "crowd")
-    meets = met.groupBy("rep").agg(F.sum("n").alias("meets"))
-    hubs = crowd.join(meets, "rep").groupBy("band", "key").agg(F.max(F.struct("meets", "rep", "weight")).alias("hub"), F.count("*").alias("n"))
-    third = join_by_group(crowd, hubs, ["band", "key"], "n", max(1, total)).filter((F.col("rep") != F.col("hub.rep")) & can_reach("weight", "hub.weight"))
-    third = _apart(third.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct(), found)
-    linked = materialize(_verified(third, sets, threshold).unionByName(more), "links")
-
-    # last round: in large buckets that still hold several components, all pairs are compared
-    found = connected_components(linked)
-    marked = crowd.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    marked = materialize(marked, "marked")
-    edges = _block_edges(marked, sets, threshold, total)
-    last = materialize(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edges), "links")
-    found = connected_components(last)
-    for table in (buckets, met, sets, links, more, crowd, linked, marked, edges, last):
-        release(table)
-
-    grouped = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("class_id"))
-    members = join_by_group(signed.select("doc_id", "digest"), grouped, ["digest"], "copies", max(1, total)).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    met = join_by_group(nodes, buckets, ["band", "key"], "n", total)
+    met = materialize(met.groupBy("least", *KEY).agg(F.max("weight").alias("weight")), "met")
+    sizes = met.groupBy("least").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.min(F.struct(*KEY)).alias("lead")).filter("n > 1")
+    sizes = materialize(sizes.withColumn("blocks", _blocks(F.col("n"), F.col("weight"))), "sizes")
+
+    involved = materialize(met.select("doc_id").distinct(), "involved")
+    sets = _cell_sets(only_ids(docs, involved, ["doc_id"]))
+    sets = materialize(sets.groupBy(*KEY).agg(F.first("cells").alias("cells")), "cells")
+    edges = materialize(_one_block_edges(met, sizes, sets, threshold).unionByName(_same_document(signed, classes, total)), "links")
+    found = connected_components(edges)
+    large = sizes.filter("blocks > 1")
+    if not large.isEmpty():
+        across = _block_pair_edges(met, large, found, sets, threshold)
+        edges = materialize(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across), "links")
+        found = connected_components(edges)
+    release(buckets, met, sizes, involved, sets, edges)
+
+    grouped = classes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("d0", "d1", "copies", F.coalesce("component", "doc_id").alias("class_id"))
+    members = join_by_group(signed.select(*KEY), grouped, ["d0", "d1"], "copies", total).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     out = docs.select("doc_id").join(members, "doc_id", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
+def _same_document(signed: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """Edges that join the texts of each document whose rows hold several."""
+    several = signed.groupBy("doc_id").agg(F.min("d0").alias("a"), F.max("d0").alias("b"), F.min("d1").alias("c"), F.max("d1").alias("d")).filter("a <> b OR c <> d")
+    several = materialize(several.select("doc_id"), "several")
+    rows = only_ids(signed.select(*KEY), several, ["doc_id"])
+    joined = join_by_group(rows, classes.select("d0", "d1", "copies", F.col("doc_id").alias("first")), ["d0", "d1"], "copies", total)
+    return joined.filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group, the one with the smallest doc_id; all
-    columns stay."""
+    columns stay, whatever their names. What near_duplicates says of null and empty
+    texts, null ids, repeated rows and long texts holds: all rows of a document stay or
+    go together, and rows with a null doc_id stay."""
     gone = near_duplicates(docs, threshold).filter("NOT kept").select("doc_id").distinct()
     gone = materialize(gone, "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
