@@ -316,25 +316,66 @@ def test_repeats_of_odd_rows(docs):
     assert suffix_dedup.mark_repeats(docs([])).count() == suffix_dedup.remove_repeats(docs([])).count() == 0
 
 
-def test_long_texts_are_hashed_in_slices(docs, monkeypatch):
-    text = "".join(random.Random(4).choice("abcdefgh ") for _ in range(3000)).encode()
-    rows = [(1, text), (2, b"x" * 70 + text[1000:2500])]
-    monkeypatch.setattr(suffix_dedup, "SLICE", 300)
-    found = [suffix_dedup.segments_of(np.frombuffer(t, np.uint8)) for _, t in rows]
-    assert all(int(f[3].sum()) == len(t) - 49 for f, (_, t) in zip(found, rows, strict=True))
-    chunk = suffix_dedup.Chunk.of(__import__("pyarrow").table({"doc_id": [1, 2], "text": [t.decode() for _, t in rows]}))
-    sizes, packed = [], []
-    for _, e in chunk.entries(1):
-        packed.append(e)
-        sizes.append(len(e) // 12)
-    half = len(packed[0]) // 2
-    codes = suffix_dedup.judge_segments(np.array([0]), np.array(sizes), suffix_dedup._unpack(packed[0][:half]), suffix_dedup._unpack(packed[0][half:]))
-    flags = {}
-    for b, mark, row, start, count in chunk.candidates(codes, 1):
-        raw = b"".join(chunk.texts[r][s : s + n + 49] for r, s, n in zip(row, start, count, strict=True))
-        flags[b] = suffix_dedup.repeated_windows(mark, chunk.ids[row], count, np.frombuffer(raw, np.uint8))
-    starts = chunk.repeats(codes, flags, 1)
-    assert suffix_dedup.removed_bytes(len(rows[1][1]), starts[1]).sum() == 1500 and not len(starts[0])
+@pytest.mark.parametrize("rows", [[(1, "a"), (2, "a"), (3, "b")], [(1, ""), (2, "")], [(1, None)], [(None, "x")], [(None, None), (None, "y" * 99)], [(4, "z" * 80)] * 3])
+def test_repeats_of_tables_of_one_kind(docs, rows):
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.mark_repeats(docs(rows)).collect()), key=repr)
+    assert got == sorted([(d, len(t or ""), 0, 0) for d, t in rows], key=repr)
+    assert sorted(((r["doc_id"], r["text"]) for r in suffix_dedup.remove_repeats(docs(rows)).collect()), key=repr) == sorted(rows, key=repr)
+
+
+def _removed_in_process(rows, chunks):
+    """(doc_id, text, bytes removed) of rows dealt into chunks, with all steps in this
+    process, so that patched limits hold for all of them."""
+    dealt = [suffix_dedup.Chunk.of(__import__("pyarrow").table({"doc_id": [d for d, _ in part], "text": [t.decode() for _, t in part]})) for part in (rows[k::chunks] for k in range(chunks))]
+    packed = [next((e for _, e in c.entries(1)), np.zeros(0, np.uint8)) for c in dealt]
+    code = suffix_dedup.judge_segments(*(np.concatenate(x) for x in zip(*map(suffix_dedup._unpack, packed), strict=True)))
+    codes = np.split(code, np.cumsum([len(e) // suffix_dedup._ENTRY for e in packed])[:-1])
+    sent = {}  # bucket -> (chunk, marks, documents, windows, bytes)
+    for k, (c, code) in enumerate(zip(dealt, codes, strict=True)):
+        for b, mark, row, start, count in c.candidates(code, 1):
+            raw = b"".join(c.texts[r][s : s + n + 49] for r, s, n in zip(row, start, count, strict=True))
+            sent.setdefault(b, []).append((k, mark, c.ids[row], count, np.frombuffer(raw, np.uint8)))
+    flags = [{} for _ in dealt]
+    for b, found in sent.items():
+        marks, docs, windows, raw = (np.concatenate(x) for x in list(zip(*found, strict=True))[1:])
+        parts = np.split(suffix_dedup.repeated_windows(marks, docs, windows, raw), np.cumsum([int(f[3].sum()) for f in found])[:-1])
+        for f, part in zip(found, parts, strict=True):
+            flags[f[0]][b] = part
+    out = []
+    for c, code, flag in zip(dealt, codes, flags, strict=True):
+        out += [(int(d), t, int(suffix_dedup.removed_bytes(len(t), s).sum())) for d, t, s in zip(c.ids, c.texts, c.repeats(code, flag, 1), strict=True)]
+    return sorted(out), codes
+
+
+def _want_removed(rows):
+    return sorted((d, t, r[2]) for (d, t), r in zip(sorted(rows, key=lambda x: x[0]), sorted(_brute_repeats(rows), key=lambda x: x[0]), strict=True))
+
+
+@pytest.mark.parametrize("limits", [{}, {"CROWD": 1}, {"CROWD_ALL": 1}, {"CROWD": 2, "CROWD_ALL": 5}])
+@pytest.mark.parametrize("chunks", [1, 7])
+def test_crowded_marks(limits, chunks, monkeypatch):
+    for name, value in limits.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rows = _passages(3)
+    got, codes = _removed_in_process(rows, chunks)
+    assert got == _want_removed(rows)
+    assert any((c == suffix_dedup.SINGLE).any() for c in codes) or not limits
+
+
+@pytest.mark.parametrize("chunks", [1, 5])
+def test_pairs_that_collide_take_the_verified_path(chunks, monkeypatch):
+    """With contents that all hash alike, the chunks' byte comparison finds the difference."""
+    real = suffix_dedup.segments_of
+    monkeypatch.setattr(suffix_dedup, "segments_of", lambda raw: (lambda m, c, s, n: (m % np.uint64(3), np.zeros_like(c), s, n))(*real(raw)))
+    rows = _passages(4)[:40]
+    got, codes = _removed_in_process(rows, chunks)
+    assert got == _want_removed(rows) and all((c == suffix_dedup.SINGLE).all() for c in codes)
+
+
+def test_one_id_over_all_chunks_loses_nothing_to_itself(docs):
+    rows = [(5, t) for _, t in _passages(3)] + [(9, t) for _, t in _passages(3)[:20]]
+    got = suffix_dedup.mark_repeats(docs([(d, t.decode()) for d, t in rows]), chunk_bytes=1500, bucket_bytes=2500)
+    assert sorted(map(tuple, got.collect())) == _brute_repeats(rows)
 
 
 @settings(max_examples=40, deadline=None)

@@ -357,3 +357,18 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+# Every pair, not only those that share a band: equal unless MinHash misses a link.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(0, len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')) END) AS shingle FROM d WHERE len(w) > 0),
+cells AS (SELECT doc_id, shingle, row_number() OVER (PARTITION BY doc_id, shingle) AS nth FROM s),
+weights AS (SELECT doc_id, count(*) AS n FROM cells GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM cells a JOIN cells b ON a.shingle = b.shingle AND a.nth = b.nth AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM met JOIN weights u ON u.doc_id = x JOIN weights v ON v.doc_id = y WHERE met.n >= 0.8 * (u.n + v.n - met.n) - 1e-9),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(y, doc_id)) AS class_id, doc_id = least(doc_id, coalesce(y, doc_id)) AS kept
+FROM documents LEFT JOIN least ON doc_id = x
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import embedding_dedup, exact_dedup
+from tidemill.llm import embedding_dedup, exact_dedup, minhash_dedup, suffix_dedup
 from tidemill.llm.bpe_codec import op2_bpe_roundtrip
 from tidemill.llm.embedding_dedup import op7_embedding_dedup
 from tidemill.llm.exact_dedup import op3_exact_dedup
@@ -27,4 +27,9 @@ QUERIES = {
     "op10_pack_binary": op10_pack_binary,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op7_embedding_dedup": embedding_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.ORACLE,
+    "op5_minhash_dedup": minhash_dedup.ORACLE,
+    "op7_embedding_dedup": embedding_dedup.ORACLE,
+    "op9_suffix_dedup": suffix_dedup.ORACLE,
+}

@@ -9,20 +9,22 @@ thinned out first, without losing any equal pair:
 
 1. Every window is marked by the smallest hash of its GRAM-byte substrings. Equal
    windows have equal marks. Neighbouring windows with one mark form a segment.
-2. Documents are dealt into chunks by ranges of doc_id. A chunk names each of its
-   (mark, segment content) pairs once, as hashes, to the mark's bucket. There, a
-   segment already seen in an earlier chunk is a repeat as a whole; a mark with a
-   single segment content needs no further work.
+2. Rows are dealt into chunks at random. A chunk names each of its (mark, segment
+   content) pairs once, as 48 + 64 bits of hashes, with the smallest id that has it, to
+   the mark's bucket. There, a pair that a smaller id has as well is a repeat as a
+   whole; a mark with a single segment content needs no further work. Within a chunk
+   equal pairs are verified byte by byte; between chunks the 112 bits decide.
 3. For marks with several contents, one text per content goes to the suffix sort: all
    its windows are sorted by mergesort. Two suffixes are compared by their longest
    common extension, found by binary search over prefix polynomial hashes. Neighbours
    that agree on LENGTH bytes by hash are verified byte by byte; each class's smallest
    document decides which windows are repeats.
 4. A mark with very many contents (around a very common line) would gather in one
-   bucket. Its chunks send single windows instead, dealt by their content, each once.
+   bucket. Its chunks send single windows instead, dealt by their content, each once,
+   and these are sorted and verified in the same way. So are marks whose pairs collide.
 
-What a bucket gets is bounded by the number of chunks, never by how often a passage
-occurs.
+What a bucket gets of a mark or window is one entry a chunk at most, however often a
+passage occurs, and there are at most MOST_CHUNKS chunks: beyond, chunks grow.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,12 +45,14 @@ from tidemill.llm.polyhash import ODD, mix, prefix_hashes, span_hashes, window_h
 
 LENGTH, GRAM = 50, 26
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 4 << 20  # text a chunk holds; text whose segments a bucket gets
-CROWD = 64  # contents of a mark that one chunk may name
+MOST_CHUNKS = 1 << 20
+CROWD, CROWD_ALL = 64, 1024  # contents of a mark that one chunk may name, and that all may
 SLICE = 4 << 20  # bytes of a long text that are hashed at once
 WINDOW_BYTES = 1 << 20  # windows verified at once
 NEW, REPEAT, SORT, SINGLE = 0, 1, 2, 3  # what a bucket says about a segment
 _48 = np.uint64(16)
-_CROWDED = np.uint64((1 << 48) - 1)
+_CROWDED = np.uint64((1 << 64) - 1)
+_ENTRY = 22  # bytes of an entry: mark, content, smallest id
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -61,7 +65,7 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(mark, content, first window, windows) of a text's segments, hashes in 48 bits."""
+    """(mark in 48 bits, content, first window, windows) of a text's segments."""
     found = []
     last = len(raw) - LENGTH + 1
     for a in range(0, max(0, last), SLICE):
@@ -72,7 +76,7 @@ def segments_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         end = np.append(start[1:], len(low))
         content = mix(span_hashes(prefix, start, end + LENGTH - 1) * ODD + (end - start).astype(np.uint64))
-        found.append((mix(low[start]) >> _48, content >> _48, start + a, end - start))
+        found.append((mix(low[start]) >> _48, content, start + a, end - start))
     if not found:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -107,7 +111,7 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chunk:
-    """The documents of one range of ids, by id (and text, for rows that share one)."""
+    """Some documents, by id (and text, for rows that share one)."""
 
     ids: np.ndarray
     texts: list[bytes]
@@ -118,7 +122,9 @@ class Chunk:
         place = sorted(range(len(texts)), key=lambda k: (ids[k], texts[k]))
         self = cls(ids[place], [texts[k] for k in place])
         self.place = place  # where the documents are in the table
-        self.raw = [np.frombuffer(t, np.uint8) for t in self.texts]
+        self.flat = np.frombuffer(b"".join(self.texts), np.uint8)
+        self.base = np.cumsum([0, *map(len, self.texts)])
+        self.raw = [self.flat[a:b] for a, b in zip(self.base[:-1], self.base[1:], strict=True)]
         found = [segments_of(r) for r in self.raw]
         row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
         mark, content, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -126,12 +132,16 @@ class Chunk:
         # entries: the distinct (mark, content) pairs, sorted; their first segment is of the smallest id
         order = _order(mark, content)
         new = _starts(mark[order], content[order])
-        first_of_mark = np.flatnonzero(_starts(mark[order]))
-        kinds = np.add.reduceat(new, first_of_mark, dtype=np.int64) if len(first_of_mark) else np.zeros(0, np.int64)
-        if (kinds > CROWD).any():  # a mark with a crowd of contents is named once, as crowded
-            crowded = np.repeat(kinds > CROWD, np.diff(np.append(first_of_mark, len(mark))))
+        kind = np.cumsum(_starts(mark[order])) - 1
+        crowded = np.bincount(kind, new) > CROWD if len(kind) else np.zeros(0, bool)
+        again = np.flatnonzero(~new)
+        if len(again):  # pairs that agree by hash only make their mark a crowded one
+            like = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))[again]
+            at = self.base[row] + start
+            crowded[kind[again[~self.same(at[order[again]], at[order[like]], count[order[again]], count[order[like]])]]] = True
+        if crowded.any():  # a mark with a crowd of contents is named once, as crowded
             content = content.copy()
-            content[order[crowded]] = _CROWDED
+            content[order[crowded[kind]]] = _CROWDED
             order = _order(mark, content)
         self.mark, self.content = mark[order], content[order]
         del mark, content
@@ -141,13 +151,25 @@ class Chunk:
         self.entry = np.cumsum(new) - 1
         return self
 
+    def same(self, i: np.ndarray, j: np.ndarray, windows_i: np.ndarray, windows_j: np.ndarray) -> np.ndarray:
+        """Whether the segments that start at i and at j in all texts are equal in bytes."""
+        out = windows_i == windows_j
+        todo = np.flatnonzero(out)
+        size = windows_i[todo] + LENGTH - 1
+        for part in np.split(np.arange(len(todo)), np.flatnonzero(np.diff(np.cumsum(size) // WINDOW_BYTES)) + 1):
+            if len(part):
+                n = size[part]
+                differs = self.flat[_spread(i[todo[part]], n)] != self.flat[_spread(j[todo[part]], n)]
+                out[todo[part]] = ~np.logical_or.reduceat(differs, np.cumsum(n) - n)
+        return out
+
     def entries(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         """(bucket, packed entries) for every bucket that gets some."""
-        mark, content = self.mark[self.first], self.content[self.first]
+        mark, content, least = self.mark[self.first], self.content[self.first], self.ids[self.row[self.first]]
         bucket = _bucket(mark, buckets)
-        cut = np.flatnonzero(_starts(bucket))
-        for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
-            yield int(bucket[a]), np.concatenate([_pack(mark[a:b]), _pack(content[a:b])])
+        cut = [*np.flatnonzero(_starts(bucket)).tolist(), len(bucket)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            yield int(bucket[a]), _pack(mark[a:b], content[a:b], least[a:b])
 
     def candidates(self, codes: np.ndarray, buckets: int):
         """For each bucket of the suffix sort: (bucket, mark, row, start, windows), the
@@ -162,8 +184,8 @@ class Chunk:
         # single windows, each content once, from the smallest id
         k = np.flatnonzero(codes[self.entry] == SINGLE)
         if len(k):
-            key, row, start, _ = self.single_windows(k)
-            new = _starts(key)
+            key, row, start, group = self.single_windows(k)
+            new = _starts(group)
             key, row, start = key[new], row[new], start[new]
             bucket = _bucket(key, buckets)
             for b in np.unique(bucket):
@@ -171,7 +193,9 @@ class Chunk:
                 yield buckets + int(b), key[m], row[m], start[m], np.ones(int(m.sum()), np.int64)
 
     def single_windows(self, segments: np.ndarray):
-        """(key, row, start, group of equal keys) of all windows of these segments, by key."""
+        """(key, row, start, group) of all windows of these segments, by key. The windows
+        of a group are equal; a collision of keys may leave equal windows in two groups,
+        which both go to the sort."""
         row = np.repeat(self.row[segments], self.count[segments])
         start = _spread(self.start[segments], self.count[segments])
         key = np.zeros(len(row), np.uint64)
@@ -181,8 +205,12 @@ class Chunk:
             low, high = int(at.min()), int(at.max()) + LENGTH
             key[part] = mix(span_hashes(prefix_hashes(raw[low:high]), at - low, at - low + LENGTH)) >> _48
         order = np.lexsort((start, row, key))
-        key = key[order]
-        return key, row[order], start[order], np.cumsum(_starts(key)) - 1
+        key, row, start = key[order], row[order], start[order]
+        new = _starts(key)
+        again = np.flatnonzero(~new)
+        at, one = self.base[row] + start, np.ones(len(again), np.int64)
+        new[again] = ~self.same(at[again], at[again - 1], one, one)
+        return key, row, start, np.cumsum(new) - 1
 
     def repeats(self, codes: np.ndarray, flags: dict[int, np.ndarray], buckets: int) -> list[np.ndarray]:
         """The starts of each document's repeated windows."""
@@ -211,7 +239,7 @@ class Chunk:
         k = np.flatnonzero(code == SINGLE)
         if len(k):
             key, row, start, group = self.single_windows(k)
-            first = np.flatnonzero(_starts(key))
+            first = np.flatnonzero(_starts(group))
             found = np.zeros(len(first), bool)
             bucket = _bucket(key[first], buckets)
             for b in np.unique(bucket):
@@ -228,27 +256,31 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(16)).astype(np.int64) * buckets) >> 32
 
 
-def _pack(values: np.ndarray) -> np.ndarray:
-    """The low 48 bits of each value."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].reshape(-1)
+def _pack(mark: np.ndarray, content: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Entries as bytes, first the lowest byte of all marks, then the next: the high
+    bytes hardly change along sorted marks and among ids, so they compress."""
+    planes = [v.astype("<i8" if v.dtype.kind == "i" else "<u8").view(np.uint8).reshape(-1, 8).T[:n] for v, n in ((mark, 6), (content, 8), (least, 8))]
+    return np.concatenate(planes).reshape(-1)
 
 
-def _unpack(raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = raw.reshape(-1, 6)
-    return out.reshape(-1).view("<u8").astype(np.uint64)
+def _unpack(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(marks, contents, smallest ids) of packed entries."""
+    planes = raw.reshape(_ENTRY, -1)
+    mark, content, least = (np.zeros((planes.shape[1], 8), np.uint8) for _ in range(3))
+    mark[:, :6], content[:], least[:] = planes[:6].T, planes[6:14].T, planes[14:].T
+    return mark.reshape(-1).view("<u8").astype(np.uint64), content.reshape(-1).view("<u8").astype(np.uint64), least.reshape(-1).view("<i8").astype(np.int64)
 
 
-def judge_segments(chunks: np.ndarray, sizes: np.ndarray, marks: np.ndarray, contents: np.ndarray) -> np.ndarray:
-    """The code of every entry of a bucket; entry k is of the chunk that sizes give it."""
-    chunk = np.repeat(chunks, sizes)
-    order = _order(marks, contents, chunk)
-    mark, content = marks[order], contents[order]
+def judge_segments(marks: np.ndarray, contents: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The code of every entry of a bucket; least is the smallest id of its chunk that has it."""
+    order = _order(marks, contents, least)
+    mark, content, own = marks[order], contents[order], least[order]
     new_pair, new_mark = _starts(mark, content), _starts(mark)
-    group = np.cumsum(new_mark) - 1
-    several = np.bincount(group, new_pair, group[-1] + 1 if len(group) else 0) > 1
-    crowded = np.bincount(group, content == _CROWDED, len(several)) > 0
-    code = np.where(~new_pair, REPEAT, np.where(several[group], SORT, NEW))
+    group, pair = np.cumsum(new_mark) - 1, np.cumsum(new_pair) - 1
+    kinds = np.bincount(group, new_pair) if len(group) else np.zeros(0)
+    crowded = kinds > CROWD_ALL
+    crowded[group[content == _CROWDED]] = True
+    code = np.where(own > own[new_pair][pair], REPEAT, np.where(kinds[group] > 1, SORT, NEW))
     out = np.zeros(len(order), np.uint8)
     out[order] = np.where(crowded[group], SINGLE, code)
     return out
@@ -364,17 +396,6 @@ def _codes(replies: pa.Table) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(r["data"], np.uint8) for r in rows)])
 
 
-def _chunk_of(doc_id: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most doc_id, in two steps of a root of them."""
-    if not bounds:
-        return F.lit(0).cast("long")
-    step = max(1, int(len(bounds) ** 0.5))
-    below = lambda array: F.size(F.filter(array, lambda x: x <= doc_id))
-    coarse = below(F.array(*(F.lit(b) for b in bounds[step - 1 :: step]))) if len(bounds) >= step else F.lit(0)
-    fine = below(F.slice(F.array(*(F.lit(b) for b in bounds)), coarse * step + 1, F.lit(step)))
-    return (coarse * step + fine).cast("long")
-
-
 def enter() -> None:
     """Start work on a group: what the last one freed goes back first."""
     own_worker("suffix sort", polyhash.forget)
@@ -388,9 +409,9 @@ def _apply(docs: DataFrame, finish, schema, chunk_bytes: int, bucket_bytes: int)
     """finish(chunk, starts of repeated windows by document, the chunk's rows) -> table, for
     each chunk. docs has doc_id, text and perhaps columns that finish wants back."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = max(1, -(-size // chunk_bytes)), max(1, -(-size // bucket_bytes))
-    cuts = docs.stat.approxQuantile("doc_id", [k / chunks for k in range(1, chunks)], min(0.001, 0.1 / chunks)) if chunks > 1 else []
-    dealt = docs.withColumn("chunk", _chunk_of(F.col("doc_id"), sorted({int(c) for c in cuts})))
+    chunks, buckets = min(MOST_CHUNKS, max(1, -(-size // chunk_bytes))), max(1, -(-size // bucket_bytes))
+    # by the row's place too: rows may share an id
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(chunks)))
 
     def name_entries(key: tuple, table: pa.Table) -> pa.Table:
         enter()
@@ -401,11 +422,8 @@ def _apply(docs: DataFrame, finish, schema, chunk_bytes: int, bucket_bytes: int)
     def judge(key: tuple, table: pa.Table) -> pa.Table:
         enter()
         packed = [np.frombuffer(e, np.uint8) for e in table["entries"].to_pylist()]
-        half = [len(p) // 2 for p in packed]
-        sizes = np.array(half) // 6
-        marks = np.concatenate([_unpack(p[:h]) for p, h in zip(packed, half, strict=True)])
-        contents = np.concatenate([_unpack(p[h:]) for p, h in zip(packed, half, strict=True)])
-        code = judge_segments(table["chunk"].to_numpy(), sizes, marks, contents)
+        sizes = [len(p) // _ENTRY for p in packed]
+        code = judge_segments(*(np.concatenate(x) for x in zip(*map(_unpack, packed), strict=True)))
         data = [c.tobytes() for c in np.split(code, np.cumsum(sizes)[:-1])]
         n = table.num_rows
         return pa.table({"chunk": table["chunk"], "kind": pa.array([0] * n, pa.int32()), "bucket": pa.array([key[0].as_py()] * n, pa.int32()), "data": pa.array(data, pa.binary())})
@@ -507,3 +525,18 @@ def remove_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_repeats(documents(spark, sf_dir))
+
+
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, unnest(range(0, CAST(len(h) / 2 AS BIGINT) - 49)) AS p, h FROM d WHERE len(h) >= 100),
+s AS (SELECT r, doc_id, p, array_slice(h, 2 * p + 1, 2 * p + 100) AS win FROM w),
+f AS (SELECT r, p, doc_id, min(doc_id) OVER (PARTITION BY win) AS least FROM s),
+g AS (SELECT r, p, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 1 ELSE 0 END AS fresh FROM f WHERE doc_id > least),
+q AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM g),
+runs AS (SELECT r, run, min(p) AS a, max(p) + 50 AS b FROM q GROUP BY r, run),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM runs),
+cut AS (SELECT d.r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM gaps JOIN d USING (r) GROUP BY d.r)
+SELECT doc_id, CAST(len(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
