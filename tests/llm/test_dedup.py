@@ -35,20 +35,38 @@ def test_exact_dedup_of_odd_rows(docs):
 
 def test_a_small_filter_changes_nothing(docs):
     rows = [(k, f"text {k % 400}") for k in range(500)]
-    for bits in (exact_dedup.BLOCK, 1 << 20):
+    for bits in (1, exact_dedup.BLOCK, 1 << 20):
         out = by_id(exact_dedup.mark_exact_copies(docs(rows), max_bits=bits))
         assert sum(r["kept"] for r in out.values()) == 400 and out[3]["keep_id"] == 403 and out[300]["group_size"] == 1
 
 
-def test_filter_finds_every_repeat(spark, docs):
-    digests = exact_dedup._digests(docs([(k, f"t{k % 700}") for k in range(1000)]))
-    bits = 1 << 16
-    probed = exact_dedup.probe(digests, exact_dedup.repeated_filter(digests, bits), bits)
+@pytest.mark.parametrize("max_bits", [1, exact_dedup.MAX_BITS])
+def test_filter_finds_every_repeat(spark, docs, max_bits):
+    digests = materialize(exact_dedup._digests(docs([(k, f"t{k % 700}") for k in range(1000)])), "digests")
+    probed = exact_dedup.probe(digests, *exact_dedup.repeated_filter(digests, max_bits))
     repeated = digests.groupBy("text_sha256").count().filter("count > 1")
     assert probed.filter("NOT maybe").join(repeated, "text_sha256").count() == 0
     assert probed.filter("maybe").count() < 700
 
 
+def test_exact_copies_of_rows_with_internal_names(spark):
+    """Columns named like the operator's own change nothing and stay; of rows that repeat
+    id and text the same one stays in every partitioning."""
+    names = ["text_sha256", "maybe", "p", "block", "bitmap", "row", "keep_id", "_keep", "_map0", "a.b"]
+    rows = [(k, f"t{k % 5}" * 9, *([f"{k}"] * len(names))) for k in range(12)] + [(11, "t1" * 9, *(["other"] * len(names)))]
+    table = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = [sorted(map(tuple, exact_dedup.drop_exact_copies(table.repartition(n)).collect())) for n in (1, 5)]
+    assert kept[0] == kept[1] and exact_dedup.drop_exact_copies(table).columns == table.columns
+    assert [r[0] for r in kept[0]] == [7, 8, 9, 10, 11] and all(r in rows for r in kept[0])
+    assert exact_dedup.mark_exact_copies(table).count() == 13
+
+
+def test_exact_copies_of_very_long_texts(docs):
+    text = "long text " * 400_000
+    got = by_id(exact_dedup.mark_exact_copies(docs([(1, text), (2, text), (3, text + "x")])))
+    assert [(got[k]["keep_id"], got[k]["kept"]) for k in (1, 2, 3)] == [(2, False), (2, True), (3, True)]
+
+
 def test_hot_groups_are_broadcast(spark):
     rows = spark.range(1000).select((F.when(F.col("id") < 600, 0).otherwise(F.col("id"))).alias("k"), "id")
     groups = rows.groupBy("k").agg(F.count("*").alias("n"))
