@@ -77,7 +77,8 @@ def test_code_switching_is_read_by_spans(crf):
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     p, t = rng.random((4, 1, 2)) + 0.1, rng.normal(size=(2, 2))
-    got, pairs = language_crf.forward_backward(p.copy(), np.array([4]), t, pairs=True)
+    got, pairs = language_crf.forward_backward(p.copy(), np.array([4]), t, np.ones((4, 1), bool))
+    half = language_crf.forward_backward(p.copy(), np.array([4]), t, np.array([[0], [0], [1], [1]], bool))[1]
     weight, expected = np.zeros((4, 2)), np.zeros((2, 2))
     total = 0.0
     for path in np.ndindex(2, 2, 2, 2):
@@ -88,12 +89,13 @@ def test_forward_backward_equals_enumeration():
         for a, b in zip(path, path[1:], strict=False):
             expected[a, b] += w
     assert np.allclose(got[:, 0], weight / total) and np.allclose(pairs, expected / total)
+    assert np.isclose(pairs.sum(), 3) and np.isclose(half.sum(), 2)
 
 
 def test_segments_cover_each_word_once():
     for lengths in ([0, 1, 5000, 1024, 1025],):
         inner = {k: [] for k in range(len(lengths))}
-        for k, a, b, first, last in language_crf.segments(lengths):
+        for k, a, b, first, last in language_crf.segments(dict(enumerate(lengths))):
             assert 0 <= a <= first < last <= b <= lengths[k]
             inner[k] += range(first, last)
         assert [sorted(v) for v in inner.values()] == [list(range(n)) for n in lengths]
@@ -105,7 +107,138 @@ def test_long_texts_agree_with_one_long_chain(crf, monkeypatch):
     cut = language_crf.predict(crf, [text])
     monkeypatch.setattr(language_crf, "SEGMENT", 10_000)
     whole = language_crf.predict(crf, [text])
-    assert cut[0][0] == whole[0][0] and abs(cut[0][1] - whole[0][1]) < 1e-3
+    assert cut[0][0] == whole[0][0] and abs(cut[0][1] - whole[0][1]) < 1e-5
+
+
+def test_overlaps_widen_until_segments_agree(crf, monkeypatch):
+    """Transitions that hardly ever change carry a text's start far: a short overlap would
+    leave other posteriors than the whole chain."""
+    sticky = language_crf.Crf(crf.labels, np.zeros_like(crf.emission), np.array([[6.0, -6.0], [-6.0, 6.0]], np.float32))
+    start = next(w for w in ("balanolo", "tarisuma") if w)
+    sticky.emission = crf.emission * (np.arange(1 << language_crf.BITS) % 7 == 0)[:, None].astype(np.float32)
+    split = [start] * 5 + ["zz"] * 900
+    found = {}
+    for segment, overlap in ((50, 2), (10_000, 2)):
+        monkeypatch.setattr(language_crf, "SEGMENT", segment)
+        found[segment] = language_crf.posteriors(sticky, {0: sticky.scores_of([split])[0]}, overlap)[0]
+    assert np.abs(found[50] - found[10_000]).max() < 1e-3
+
+
+def test_spans_of_a_code_switched_text(spark, docs, crf):
+    assert language_crf.spans(crf, "Balanolo tarisuma krchwztk, schpngth!") == [("aa", "balanolo tarisuma"), ("bb", "krchwztk schpngth")]
+    got = by_id(language_crf.language_spans(docs([(1, "balanolo krchwztk"), (2, None)]), crf))
+    assert [(x["lang"], x["words"]) for x in got[1]["spans"]] == [("aa", "balanolo"), ("bb", "krchwztk")] and got[2]["spans"] == []
+
+
+def test_words_keep_their_combining_marks():
+    assert language_crf.words("नमस्ते दुनिया, हिन्दी! Ünï x² 12") == ["नमस्ते", "दुनिया", "हिन्दी", "ünï", "x"]
+
+
+def test_training_bounds_hold_on_repeated_rows(spark, monkeypatch):
+    """20,000 rows of ten ids: neither more rows than the bound, nor a language without any."""
+    seen = []
+    monkeypatch.setattr(language_crf, "train", lambda texts, langs: seen.append(sorted(zip(langs, texts, strict=True))))
+    monkeypatch.setattr(quality, "train", lambda rows: seen.append(rows) or np.zeros(1))
+    ids = [i for i in range(100) if crc(i) % 3 != 1 and crc(i) % 5 != 0][:10]
+    rows = spark.range(20_000).select(F.element_at(F.array(*map(F.lit, ids)), (F.col("id") % 10 + 1).cast("int")).alias("doc_id"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"), F.concat(F.lit("text "), (F.col("id") % 30).cast("string")).alias("text"))
+    language_crf.fit(rows, per_language=2)
+    assert [x for x, _ in seen[-1]] == ["de"] * 2 + ["en"] * 2
+    language_crf.fit(rows, max_chars=1)
+    assert [x for x, _ in seen[-1]] == ["de", "en"]
+    language_crf.fit(rows, max_rows=4)
+    assert [x for x, _ in seen[-1]] == ["de"] * 2 + ["en"] * 2
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)] * 3, "doc_id long, quality int")
+    for bound, want in (({"max_rows": 5}, 5), ({}, 10), ({"max_chars": 1}, 1)):
+        quality.fit(rows, labels, **bound)
+        assert len(seen[-1]) == want
+
+
+def test_long_labelled_texts_stay_in_the_budget(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_crf, "train", lambda texts, langs: seen.append(sum(map(len, texts))))
+    ids = [i for i in range(100) if crc(i) % 3 != 1][:6]
+    rows = spark.createDataFrame([(i, "en" if k else "de", "word " * (2_000_000 if k < 3 else 100)) for k, i in enumerate(ids)], "doc_id long, lang string, text string")
+    language_crf.fit(rows, max_chars=20_000)
+    assert seen == [10_000_000 + 3 * 500]  # the only German text, and the English ones that fit
+
+
+def test_quality_query_equals_brute_force(spark):
+    """Scores recomputed from the fitted weights by plain loops over each text."""
+    import re
+
+    tiny = "/root/testdata/sf0.001"
+    docs, mask = documents(spark, tiny), 2**64 - 1
+    weights = quality.fit(docs, spark.read.parquet(f"{tiny}/labels.parquet")).astype(np.float64)
+
+    def fold(parts):
+        h = len(parts)
+        for p in parts:
+            h = ((h ^ p) * 0x9E3779B97F4A7C15) & mask
+            h ^= h >> 29
+        return (h >> (64 - 18 - 8)) & ((1 << 18) - 1)
+
+    def score(text):
+        items = re.findall(r"\w+|[^\w\s]+", text or "")
+        w = [zlib.crc32(x.lower().encode()) for x in items]
+        s = [zlib.crc32(("\0" + quality.shape(x)).encode()) for x in items]
+        found = [fold(x[k : k + n]) for x, sizes in ((w, (1, 2)), (s, (1, 2, 3))) for n in sizes for k in range(len(x) - n + 1)]
+        return 1 / (1 + np.exp(-(weights[-1] + (10 * sum(weights[f] for f in found) / len(found) if found else 0))))
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    out = by_id(quality.op4_quality(spark, tiny))
+    assert set(out) == set(texts) and all(abs(out[i]["score"] - score(t)) < 1e-6 for i, t in texts.items())
+
+
+def test_language_query_equals_brute_force(spark):
+    """Every text's posteriors by plain forward-backward over the whole chain, from
+    emissions that are summed word by word."""
+    tiny, mask = "/root/testdata/sf0.001", 2**64 - 1
+    docs = documents(spark, tiny)
+    crf = language_crf.fit(docs)
+    cache = {}
+
+    def number(kind, values):
+        h = (kind * 0x9E3779B97F4A7C15) & mask
+        for v in values:
+            h = ((h ^ v) * 0xD6E8FEB86659FD93) & mask
+            h ^= h >> 32
+        return ((h * 0x9E3779B97F4A7C15) & mask) >> (64 - 17)
+
+    def emission(word):
+        if word not in cache:
+            c = [2, *map(ord, word), 3]
+            found = [number(n, c[k : k + n]) for n in (2, 3) for k in range(len(c) - n + 1)]
+            for n in (1, 2, 3):
+                if len(c) > n:
+                    found += [number(10 + n, c[: n + 1]), number(20 + n, c[len(c) - n - 1 :])]
+            found.append(number(1, [sum(x * pow(0x5851F42D4C957F2D, k + 1, 2**64) for k, x in enumerate(c)) & mask]))
+            found += [number(30, [x]) for x in crf.lexicon.get(word, [])]
+            cache[word] = crf.emission[found].astype(np.float64).sum(0)
+        return cache[word]
+
+    m = np.exp(crf.transition.astype(np.float64))
+
+    def best(text):
+        e = [emission(w) for w in language_crf.words(text or "")]
+        if not e:
+            return "und", 0.0
+        p = [np.exp(x - x.max()) for x in e]
+        alpha, beta = [p[0] / p[0].sum()], [np.ones(len(m))]
+        for x in p[1:]:
+            alpha.append((alpha[-1] @ m) * x)
+            alpha[-1] /= alpha[-1].sum()
+        for x in reversed(p[1:]):
+            beta.append(m @ (x * beta[-1]))
+            beta[-1] /= beta[-1].sum()
+        total = sum(a * b / (a * b).sum() for a, b in zip(alpha, reversed(beta), strict=True))
+        return crf.labels[int(total.argmax())], total.max() / len(e)
+
+    out = by_id(language_crf.op6_language_crf(spark, tiny))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert set(out) == set(texts)
+    for i, t in texts.items():
+        lang, score = best(t)
+        assert abs(out[i]["score"] - score) < 1e-3 and (out[i]["lang_pred"] == lang or score < 0.501)
 
 
 def test_languages_of_odd_rows(spark, docs, crf):

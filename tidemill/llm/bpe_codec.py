@@ -47,6 +47,7 @@ class Encoder:
         self.known: dict[int, bool] = {}
         self.pair_cache = pair_cache
         self.spines: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        self.own: dict[int, bool] = {}  # one entry per token of the vocabulary
 
     def spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """The nodes on one side of a token's merge tree, from its byte up:
@@ -67,10 +68,11 @@ class Encoder:
         if found is None:
             if len(self.known) > self.pair_cache:
                 self.known.clear()
-            found = self.known[key] = self._test(left, right)
+            found = self.known[key] = self._stays_apart(left, right)
         return found
 
-    def _test(self, left: int, right: int) -> bool:
+    def _stays_apart(self, left: int, right: int) -> bool:
+        """Whether the border between two symbols stays until both are whole."""
         a, b = self.spine(left, 1), self.spine(right, 0)
         i = j = 0
         merge_rank = self.vocab.merge_rank
@@ -112,23 +114,13 @@ class Encoder:
         out.reverse()
         return out
 
-    @functools.lru_cache(maxsize=None)  # noqa: B019  one entry per token of the vocabulary
     def is_own(self, token: int) -> bool:
         """Whether the token's bytes encode to the token itself."""
-        a, b = self.vocab.parts[token].tolist()
-        return a < 0 or (self.is_own(a) and self.is_own(b) and self._meets(a, b, token))
-
-    def _meets(self, left: int, right: int, token: int) -> bool:
-        """Whether the border between the halves stays until they are whole."""
-        a, b = self.spine(left, 1), self.spine(right, 0)
-        i = j = 0
-        while (a[i][2], b[j][2]) != (_NEVER, _NEVER):
-            (x, _, x_ends), (y, _, y_ends) = a[i], b[j]
-            found = self.vocab.merge_rank.get((x, y))
-            if found is not None and found[0] < x_ends and found[0] <= y_ends:
-                return False
-            i, j = i + (x_ends <= y_ends), j + (y_ends <= x_ends)
-        return True
+        found = self.own.get(token)
+        if found is None:
+            a, b = self.vocab.parts[token].tolist()
+            found = self.own[token] = a < 0 or (self.is_own(a) and self.is_own(b) and self._stays_apart(a, b))
+        return found
 
     def solve(self, words: list[str]):
         found = [self.encode(w.encode("utf-8", "replace")) for w in words]

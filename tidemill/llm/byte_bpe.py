@@ -136,23 +136,25 @@ def pretokens(text: str, specials: dict[str, int]) -> list[str]:
 
 class PretokenTable:
     """Maps pre-tokens to row numbers of what `solve` has found for them. Solving
-    runs on the new pre-tokens of a batch at once; the table starts anew when it
-    holds `capacity` of them (results do not change, only memory is bounded)."""
+    runs on the new pre-tokens of a batch at once; the table starts anew when it holds
+    more than `capacity` of them, or `characters` in all (results do not change, only
+    memory is bounded: by that and what one batch adds)."""
 
-    def __init__(self, solve, specials: dict[str, int], split=None, capacity: int = 400_000):
-        self.solve, self.specials, self.capacity = solve, specials, capacity
+    def __init__(self, solve, specials: dict[str, int], split=None, capacity: int = 400_000, characters: int = 16_000_000):
+        self.solve, self.specials, self.capacity, self.characters = solve, specials, capacity, characters
         self.split = split or (lambda text: pretokens(text, specials))
         self.clear()
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
+        self.held = 0
         self.start = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
     def rows(self, texts: list[str]) -> list[np.ndarray]:
         """For each text the row numbers of its pre-tokens. A row's ids are
         flat[start[row]:start[row + 1]]."""
-        if len(self.row) > self.capacity:
+        if len(self.row) > self.capacity or self.held > self.characters:
             self.clear()
         split = [self.split(t) for t in texts]
         get, none = self.row.get, itertools.repeat(-1)
@@ -173,6 +175,7 @@ class PretokenTable:
         lengths = np.concatenate([lengths, np.ones(len(marks), np.int64)])
         flat = np.concatenate([flat, np.array([self.specials[x] for x in marks], np.uint32)])
         at = len(self.row)
+        self.held += sum(map(len, new))
         self.row.update(zip(plain + marks, range(at, at + len(new)), strict=True))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
         self.flat = np.concatenate([self.flat, flat.astype(np.uint32)])

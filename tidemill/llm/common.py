@@ -114,6 +114,17 @@ def hash_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
     return df.orderBy(h, *keys).limit(most)
 
 
+def within(rows: list, budget: int, size: Callable) -> list:
+    """The rows, in order, whose joint size stays in the budget; the smallest row alone
+    where none does."""
+    out, used = [], 0
+    for row in rows:
+        if used + size(row) <= budget:
+            out.append(row)
+            used += size(row)
+    return out or ([min(rows, key=size)] if rows else [])
+
+
 _forget: dict[str, Callable[[], None]] = {}
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import documents, hash_sample, id_and_text, own_worker, prepare, small_batches
+from tidemill.llm.common import documents, hash_sample, id_and_text, own_worker, prepare, small_batches, within
 
 BITS = 18
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -34,18 +34,21 @@ def shape(item: str) -> str:
 
 
 class Hashes:
-    """Item -> hashes of the item and of its shape; emptied when it grows large."""
+    """Item -> hashes of the item and of its shape; emptied when it holds more items or
+    characters than it may, so that a batch's own come on top of that at most."""
 
-    def __init__(self, capacity: int = 400_000):
-        self.capacity, self.row, self.item, self.shape = capacity, {}, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    def __init__(self, capacity: int = 400_000, characters: int = 16_000_000):
+        self.capacity, self.characters, self.held = capacity, characters, 0
+        self.row, self.item, self.shape = {}, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
     def rows(self, items: list[str]) -> np.ndarray:
         new = list(set(items).difference(self.row))
         if new:
-            if len(self.row) + len(new) > self.capacity:
-                self.__init__(self.capacity)
+            if len(self.row) + len(new) > self.capacity or self.held > self.characters:
+                self.__init__(self.capacity, self.characters)
                 new = list(set(items))
             at = len(self.row)
+            self.held += sum(map(len, new))
             self.row.update(zip(new, range(at, at + len(new)), strict=True))
             crc = lambda texts: np.array([zlib.crc32(t.encode("utf-8", "replace")) for t in texts], np.uint64)
             self.item = np.concatenate([self.item, crc([x.lower() for x in new])])
@@ -96,23 +99,32 @@ def _values(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at, 1 << BITS), np.append(count * (10.0 / max(1, len(found))), 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> np.ndarray:
-    """Train on at most max_rows labelled documents outside the held-out fold, those
-    with the smallest hash of the id; a document labelled twice counts once with its
-    larger label. The bound is what makes fitting on the driver safe."""
-    labelled = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(5, 0)).groupBy("doc_id").agg(F.max("quality").alias("label"))
-    chosen = hash_sample(labelled, ["doc_id"], max_rows)
-    texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id")
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 32_000_000) -> np.ndarray:
+    """Train on labelled documents outside the held-out fold: max_rows at most, those
+    with the smallest hash of the id, and of these as many as have max_chars characters
+    together. These bounds are what makes fitting on the driver safe.
+
+    A document labelled twice counts once with its larger label; of rows that share an
+    id one text counts, that with the smallest hash. Without any labelled document all
+    weights are zero."""
+    spark = docs.sparkSession
+    labelled = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(5, 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
+    texts = id_and_text(docs).withColumn("key", F.xxhash64("text"))
+    sizes = texts.join(F.broadcast(hash_sample(labelled, ["doc_id"], max_rows)), "doc_id")
+    sizes = sizes.groupBy("doc_id", "label").agg(F.min(F.struct("key", F.length("text").alias("chars"))).alias("one")).select("doc_id", "label", "one.*").collect()
+    rows = sorted(sizes, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
+    chosen = [(r["doc_id"], r["label"], r["key"]) for r in within(rows, max_chars, lambda r: r["chars"])]
+    texts = texts.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, label int, key long")), ["doc_id", "key"]).dropDuplicates(["doc_id"])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in small_batches(it):
             pairs = [_values(features(t, hashes)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), pa.array([a.astype(np.int32) for a, _ in pairs], pa.list_(pa.int32())), pa.array([v for _, v in pairs], pa.list_(pa.float64()))], ["doc_id", "label", "at", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([a.astype(np.int32) for a, _ in pairs], pa.list_(pa.int32())), pa.array([v for _, v in pairs], pa.list_(pa.float64()))], ["doc_id", "label", "at", "value"])
 
-    found = texts.mapInArrow(batches, "doc_id long, label int, at array<int>, value array<double>").toArrow()
+    found = texts.select("doc_id", "label", "text").mapInArrow(batches, "doc_id long, label int, at array<int>, value array<double>").toArrow()
     rows = list(zip(found["doc_id"].to_pylist(), found["at"].to_numpy(), found["value"].to_numpy(), found["label"].to_pylist(), strict=True))
-    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], len(r[1])))
+    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
     return train([(a.astype(np.int64), v, y) for _, a, v, y in rows]).astype(np.float32)
 
 
@@ -123,8 +135,9 @@ def held_out(folds: int, fold: int):
 def score_documents(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs; narrow.
 
-    Null and empty texts are scored by the bias alone. A null doc_id is in no fold
-    (held_out false); repeated rows are scored each; other columns are ignored.
+    Null and empty texts are scored by the bias alone; long ones count whole. A null
+    doc_id is in no fold (held_out false); repeated rows are scored each; other columns
+    are ignored; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # fixed size: 2**BITS + 1 floats
