@@ -299,11 +299,47 @@ def test_embeddings_of_odd_rows(spark):
     assert embedding_dedup.near_embeddings(df.limit(0)).count() == 0
 
 
-def test_table_plan_meets_the_wanted_miss_rate():
-    for rows in (10, 10_000, 10**7, 10**10):
-        width, per, rotations = embedding_dedup.table_plan(rows, 64, 0.98, 0.002)
-        flip = np.arccos(0.98) / np.pi
-        assert (1 - (1 - flip) ** width) ** (per * rotations) <= 0.002 and width * per <= 64
+@pytest.mark.parametrize("offset", [0.0, 3.0, 12.0])
+@pytest.mark.parametrize("rows", [1000, 10**7, 10**10])
+def test_codes_meet_the_wanted_miss_rate(offset, rows):
+    """Also for vectors in a narrow cone around a common direction, and for wide words."""
+    rng = np.random.default_rng(2)
+    make = lambda n: (lambda v: v / np.linalg.norm(v, axis=1, keepdims=True))(rng.normal(size=(n, 64)) + offset * np.eye(64)[0])
+    centre, projections, width, per = embedding_dedup.learn_codes(make(4000), rows, 0.98, 0.002)
+    a, b = (embedding_dedup.words_of(x, centre, projections, width, per) for x in embedding_dedup.at_threshold(make(4000), 0.98))
+    assert (a != b).all(1).mean() <= 0.01 and width * per <= 64
+    assert np.allclose((lambda v, u: (v * u).sum(1))(*embedding_dedup.at_threshold(make(10), 0.98)), 0.98)
+
+
+def test_every_link_of_a_narrow_cone_is_found(spark):
+    rng, rows = np.random.default_rng(4), []
+    for k in range(500):
+        centre = rng.normal(size=32) + 6 * np.eye(32)[0]
+        centre /= np.linalg.norm(centre)
+        for _ in range(2):
+            rows.append((len(rows), (centre + rng.normal(size=32) * 0.015).tolist(), 0))
+    got = sorted((r["vec_id"], r["n_links"]) for r in embedding_dedup.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    want = [x[:2] for x in _brute_links(rows)]
+    assert sum(x[1] for x in got) >= 0.99 * sum(x[1] for x in want) and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+
+
+def test_rows_that_share_a_vec_id_are_vectors_of_their_own(spark):
+    a, b = [1.0] + [0.0] * 15, [0.0, 1.0] + [0.0] * 14
+    rows = [(1, a, 0), (1, b, 0), (2, [0.0, 1.0, 0.01] + [0.0] * 13, 0), (3, a, 0)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    got = sorted((r["vec_id"], r["n_links"]) for r in embedding_dedup.near_embeddings(spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(1, 0), (1, 1), (2, 1)]
+
+
+def test_vectors_of_many_lengths_are_all_indexed(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim in range(8, 8 + embedding_dedup.MODELS + 6):
+        v = rng.normal(size=dim)
+        rows += [(len(rows) + k, (v + 0.001 * k).tolist(), 0) for k in range(3 if dim % 2 else 2)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == _brute_links(rows)
 
 
 def test_codes_are_balanced():
