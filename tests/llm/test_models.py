@@ -414,3 +414,32 @@ def test_lexical_features(spark):
     assert r["entropy"] == pytest.approx(want)
     assert (r["url_length"], r["path_length"], r["depth"], r["parameters"], r["host_labels"], r["longest_label"], r["hyphens"], r["suffix"]) == (len(url), 5, 2, 2, 3, 5, 1, "cd-ef.org")
     assert r["digit_ratio"] == pytest.approx(3 / len(url))
+
+
+def test_url_verdicts_equal_brute_force(spark):
+    """Features and trees of every URL that no rule decides, outside Spark."""
+    from collections import Counter
+    from math import log2
+
+    df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(10**6 + k, u) for k, u in enumerate([*URLS, "http://x.net/~a+b,c;d", "http://long.org/" + "a1/" * 40_000])], "page_id long, url string"))
+    host, path = url_filter.host_and_path(F.col("url"))
+    featured = url_filter.lexical_features(df.withColumns({"host": host, "path": path}).withColumn("rule", url_filter.rule_of(F.col("host"), F.col("path"), url_filter.RULES)))
+    model = url_filter.fit(featured, url_filter.RULES)
+    out = {r["page_id"]: r for r in url_filter.judge_urls(df).collect()}
+    checked = 0
+    for r in df.collect():
+        url = r["url"] or ""
+        host, path, rule = _brute_rule(r["url"])
+        if rule is None:
+            n, low = max(1, len(url)), url.lower()
+            count = Counter(c if c in url_filter._ALPHABET else "other" for c in low)
+            labels = host.split(".")
+            x = [len(url), len(path), path.count("/"), sum(c in "0123456789" for c in url) / n, -sum(v / n * log2(v / n) for v in count.values()), 1 + url.count("&") if "?" in url else 0, len(labels), len(host), max(map(len, labels)), url.count("-"), model.suffix_rates.get(".".join(labels[-2:]), model.base_rate)]
+            margin = np.full(1, model.prior)
+            for t in model.trees:
+                t.add_to(np.array([x], float), margin, np.arange(1))
+            got = out[r["page_id"]]
+            assert got["block_probability"] == pytest.approx(1 / (1 + np.exp(-margin[0])), abs=1e-6), url[:90]
+            assert got["verdict"] == ("block" if margin[0] > 0 else "allow") or abs(margin[0]) < 1e-6
+            checked += 1
+    assert checked > 20 and len(model.trees) == 20

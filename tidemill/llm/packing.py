@@ -101,8 +101,8 @@ def pack_documents(docs: DataFrame, path: str, cap: int = CAP, end_id: int = END
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, bucket and, if asked for, ids.
 
-    cap is a power of two. Each task lists its pieces by bucket, so equal lengths lie
-    together without a shuffle. Null and empty texts give one piece with the end id
+    cap is a power of two. Each task lists the pieces of some megabytes of text by bucket
+    at a time, so equal lengths lie together without a shuffle. Null and empty texts give one piece with the end id
     alone. Repeated rows are packed each; a null doc_id stays null; other columns are
     ignored; an empty table gives an empty result; there is no limit on a text.
     """

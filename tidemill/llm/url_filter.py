@@ -27,6 +27,7 @@ RULES = {
 }
 
 FEATURES = ["url_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "host_labels", "host_length", "longest_label", "hyphens", "suffix_block_rate"]
+FOLDS = 5
 _ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./:-_?=&%#"
 
 
@@ -55,9 +56,9 @@ def lexical_features(pages: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("url"), F.lit(""))
     low, n = F.lower(url), F.greatest(F.length(url), F.lit(1)).cast("double")
     count = lambda c, text=low: (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double")
+    others = F.length(F.translate(low, _ALPHABET, "")).cast("double")  # all other characters count as one
     entropy = F.lit(0.0)
-    for c in _ALPHABET:
-        share = count(c) / n
+    for share in [*(count(c) / n for c in _ALPHABET), others / n]:
         entropy = entropy + F.when(share > 0, -share * F.log2(share)).otherwise(0.0)
     labels = F.split(F.col("host"), r"\.")
     return pages.select(
@@ -138,20 +139,28 @@ class UrlModel:
         return F.expr(" + ".join([repr(self.prior) + "D", *(f"({t.sql()})" for t in self.trees)]))
 
 
+def _suffix_rates(suffixes: list[str], y: np.ndarray, base: float, most: int) -> dict[str, float]:
+    """The commonest suffixes' shares of block, drawn towards the base rate."""
+    count: dict[str, list[float]] = {}
+    for s, label in zip(suffixes, y, strict=True):
+        c = count.setdefault(s, [0.0, 0.0])
+        c[0], c[1] = c[0] + 1, c[1] + float(label)
+    top = sorted(count, key=lambda s: (-count[s][0], s))[:most]
+    return {s: (count[s][1] + 5 * base) / (count[s][0] + 5) for s in top}
+
+
 def train_trees(x: np.ndarray, y: np.ndarray, suffixes: list[str], trees: int = 20, depth: int = 3, rate: float = 0.3, bins: int = 16, ridge: float = 1.0, max_suffixes: int = 50) -> UrlModel:
     """Logistic gradient boosting, y = 1 for block. x has all features but the last,
     which is the smoothed block rate of a URL's suffix; at most max_suffixes of the
-    commonest suffixes are kept, all others have the base rate."""
+    commonest suffixes are kept, all others have the base rate. The trees see rates from
+    the other FOLDS - 1 parts of the rows, so that no row's label is in its own feature."""
     if not len(y):
         return UrlModel(-1.0, [], {}, 0.0)
     base = float(y.mean())
-    count: dict[str, list[float]] = {}
-    for s, label in zip(suffixes, y, strict=True):
-        c = count.setdefault(s, [0.0, 0.0])
-        c[0], c[1] = c[0] + 1, c[1] + label
-    top = sorted(count, key=lambda s: (-count[s][0], s))[:max_suffixes]
-    rates = {s: (count[s][1] + 5 * base) / (count[s][0] + 5) for s in top}
-    x = np.column_stack([x, [rates.get(s, base) for s in suffixes]])
+    fold = np.arange(len(y)) % FOLDS
+    rates = _suffix_rates(suffixes, y, base, max_suffixes)
+    others = [_suffix_rates([s for s, f in zip(suffixes, fold, strict=True) if f != k], y[fold != k], base, max_suffixes) for k in range(FOLDS)]
+    x = np.column_stack([x, [others[f].get(s, base) for s, f in zip(suffixes, fold, strict=True)]])
     p = min(max(base, 1e-3), 1 - 1e-3)
     model = UrlModel(math.log(p / (1 - p)), [], rates, base)
     margin = np.full(len(y), model.prior)
@@ -168,7 +177,7 @@ def fit(featured: DataFrame, rules: dict[str, str], max_rows: int = 5000) -> Url
     hash: the documented bound of what reaches the driver."""
     blocked = F.col("rule").isin([r for r, v in rules.items() if v == "block"])
     decided = featured.filter(F.col("rule").isNotNull()).select("page_id", "url", "suffix", *FEATURES[:-1], blocked.cast("int").alias("y"))
-    sample = hash_sample(decided, ["page_id", "url"], max_rows).collect()
+    sample = hash_sample(decided, ["page_id", "url"], max_rows).drop("page_id", "url").collect()
     x = np.array([[r[f] for f in FEATURES[:-1]] for r in sample], np.float64).reshape(len(sample), len(FEATURES) - 1)
     return train_trees(x, np.array([r["y"] for r in sample], np.float64), [r["suffix"] for r in sample])
 
@@ -179,7 +188,8 @@ def judge_urls(pages: DataFrame, rules: dict[str, str] = RULES, max_rows: int =
 
     A null url, or one without ://, has an empty host and path, fits no rule and is
     judged by the trees on empty features. Repeated rows are judged each; a null
-    page_id stays null; other columns are ignored. Without any URL that a rule
+    page_id stays null; long URLs count whole; other columns are ignored; an empty
+    table gives an empty result. Without any URL that a rule
     decides, there are no trees and every verdict is allow.
     """
     host, path = host_and_path(F.col("url"))
