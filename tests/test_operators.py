@@ -75,6 +75,7 @@ def test_salted_join_equals_plain_join(spark, rows):
     big = spark.createDataFrame([("mega", k) for k in range(4)] + [("small", k) for k in range(4, 6)], "tenant string, id int")
     small = spark.createDataFrame([(t, c) for t in ("mega", "small") for c in ("x", "y")], "tenant string, campaign string")
     salted = joins.salted_join(big, small, ["tenant"], 3, ["id"])
+    assert rows(joins.salted_join(big, small, ["tenant"], 3, ["id"], hot_share=0.5), "tenant", "id", "campaign") == rows(salted, "tenant", "id", "campaign")
     assert rows(salted, "tenant", "id", "campaign") == rows(big.join(small, "tenant"), "tenant", "id", "campaign")
     assert salted.count() == 12
 
@@ -152,9 +153,9 @@ def test_affinity_and_its_prediction(spark, rows):
     assert affinity.predict_pairs(sizes, 20).first()["pairs"] == 48
     pairs = affinity.affinity(baskets, ["order_id"], "product_id", [], least=2, cap=20)
     assert rows(pairs) == [(1, 2, 2), (1, 3, 2), (2, 3, 2)]
-    assert affinity.affinity(baskets, ["order_id"], "product_id", [], least=1).agg(F.sum("co_occurrences")).first()[0] == 21173
+    assert affinity.affinity(baskets, ["order_id"], "product_id", [], least=1, max_ratio=1000).agg(F.sum("co_occurrences")).first()[0] == 21173
     with pytest.raises(affinity.PairExplosion):
-        affinity.affinity(baskets, ["order_id"], "product_id", [], max_pairs=1000)
+        affinity.affinity(baskets, ["order_id"], "product_id", [], max_ratio=1)
 
 
 def test_change_log_edge_cases(spark, rows):

@@ -89,12 +89,12 @@ def test_generators_do_not_depend_on_partitions(spark, rows):
     assert lines.join(a, ["tenant_id", "order_id"], "left_anti").count() == 0
     assert lines.groupBy("order_id").count().agg(F.min("count"), F.max("count")).first() == (1, 4)
     products = generate.products(spark, 5)
-    assert products.groupBy("product_id").count().first()["count"] == len(generate.TENANT_SHARES)
+    assert products.groupBy("product_id").count().first()["count"] == len(generate.SHARES)
 
 
 def test_generated_tenants_are_skewed_and_dirt_is_small(spark):
     orders = generate.orders(spark, 5000, 3000)
-    share = orders.filter("tenant_id = 'mega_001'").count() / 5000
+    share = orders.filter("tenant_id = 't_000'").count() / 5000
     assert 0.55 < share < 0.65
     dirty = generate.make_dirty(orders)
     assert 0.005 < dirty.filter("customer_id IS NULL OR total_amount < 0 OR order_date IS NULL").count() / 5000 < 0.03

@@ -41,6 +41,23 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), F.col("p_brand").alias("category"), F.col("p_retailprice").alias("base_price"))
 
 
+def tenant_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as the order_items table has them; some lack a product or have a quantity of zero."""
+    rows = enrich(items(spark, sf_dir), orders(spark, sf_dir).select("order_id", "tenant_id"), ["order_id"], "inner")
+    text, k = (lambda c: F.col(c).cast("string")), F.col("order_id") + F.col("line")
+    return rows.select(
+        "tenant_id", text("order_id").alias("order_id"), F.concat(text("order_id"), F.lit("-"), text("line")).alias("order_item_id"),
+        F.when(k % 41 != 0, text("product_id")).alias("product_id"), F.when(k % 43 == 0, 0).otherwise(F.col("quantity")).cast("int").alias("quantity"),
+        (F.col("item_revenue") / F.col("quantity")).cast("double").alias("unit_price"), F.col("item_revenue").cast("double").alias("item_revenue"),
+    )
+
+
+def tenant_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products as the products table has them, the part type standing for a tenant; some lack a category."""
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(F.col("p_type").alias("tenant_id"), k.cast("string").alias("product_id"), F.col("p_name").alias("product_name"), F.when(k % 37 != 0, F.col("p_brand")).alias("category"), F.col("p_retailprice").cast("double").alias("base_price"))
+
+
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with missing customers, negative totals, missing dates and appended
     copies; one row can have several problems."""
@@ -79,3 +96,9 @@ SQL_MART = SQL_ORDERS + """, mart AS (
          count(DISTINCT l.l_orderkey) AS orders, count(*) AS items_sold
   FROM lineitem l JOIN orders_t o ON l.l_orderkey = o.order_id LEFT JOIN part p ON l.l_partkey = p.p_partkey
   WHERE o.status = 'F' GROUP BY ALL)"""
+SQL_TENANT_ITEMS = """SELECT c_mktsegment AS tenant_id, CAST(l_orderkey AS VARCHAR) AS order_id, concat(l_orderkey, '-', l_linenumber) AS order_item_id,
+  CASE WHEN (l_orderkey + l_linenumber) % 41 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS product_id,
+  CAST(CASE WHEN (l_orderkey + l_linenumber) % 43 = 0 THEN 0 ELSE l_quantity END AS INTEGER) AS quantity,
+  CAST(l_extendedprice AS DOUBLE) / l_quantity AS unit_price, CAST(l_extendedprice AS DOUBLE) AS item_revenue
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
+SQL_TENANT_PRODUCTS = "SELECT p_type AS tenant_id, CAST(p_partkey AS VARCHAR) AS product_id, p_name AS product_name, CASE WHEN p_partkey % 37 <> 0 THEN p_brand END AS category, CAST(p_retailprice AS DOUBLE) AS base_price FROM part"

@@ -11,6 +11,7 @@ from tidemill.functions.exprs import minute_label as hour_and_minute
 from tidemill.operators import affinity, changes, checks, features, joins, keyed, marts, quality
 from tidemill.plans.inspect import plan_facts
 from tidemill.plans.layout import layout_of
+from tidemill.schemas import SCHEMAS
 from tidemill.session import scratch
 from tidemill.sources import tables
 from tidemill.streaming import clicks
@@ -44,6 +45,30 @@ def bronze_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.write_table(tables.read_csv(spark, landing, rows.schema), scratch(spark, "bronze"))
 
 
+def _landed(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """Rows laid down as CSV and taken in with the table's schema."""
+    schema, landing = SCHEMAS[name], scratch(spark, f"landing-{name}")
+    tables.write_csv(rows.select([F.col(f.name).cast(f.dataType) for f in schema]), landing)
+    return tables.ingest_csv(spark, landing, schema, scratch(spark, f"bronze-{name}"))
+
+
+@query("SELECT c_mktsegment AS tenant_id, CAST(c_custkey AS VARCHAR) AS customer_id, c_name AS name, concat('c', c_custkey, '@example.com') AS email, CAST(c_nationkey AS VARCHAR) AS country, DATE '1995-01-01' AS signup_date FROM customer")
+def bronze_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey").cast("string")
+    rows = B.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("tenant_id"), key.alias("customer_id"), F.col("c_name").alias("name"), F.concat(F.lit("c"), key, F.lit("@example.com")).alias("email"), F.col("c_nationkey").alias("country"), F.lit("1995-01-01").cast("date").alias("signup_date"))
+    return _landed(spark, rows, "customers")
+
+
+@query(f"SELECT tenant_id, product_id, product_name, category, base_price FROM ({B.SQL_TENANT_PRODUCTS})")
+def bronze_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landed(spark, B.tenant_products(spark, sf_dir), "products")
+
+
+@query(f"SELECT * FROM ({B.SQL_TENANT_ITEMS})")
+def bronze_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _landed(spark, B.tenant_items(spark, sf_dir), "order_items")
+
+
 @query("SELECT count(*) AS n FROM orders WHERE o_orderkey % 2 = 0")
 def count_even(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").agg(F.count("*").alias("n"))
@@ -83,19 +108,15 @@ def silver_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ITEM_ORDER = "l_shipdate DESC, l_partkey, l_suppkey, l_extendedprice"
 
 
-@query(f"""SELECT l_orderkey AS order_id, l_linenumber AS line, l_partkey AS product_id, l_quantity AS quantity, l_extendedprice AS item_revenue FROM lineitem
-WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL AND l_partkey IS NOT NULL AND l_quantity > 0 AND l_extendedprice >= 0
-QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_ITEM_ORDER}) = 1""")
+@query(f"""SELECT tenant_id, order_id, order_item_id, product_id, quantity, item_revenue FROM ({B.SQL_TENANT_ITEMS}) WHERE tenant_id IS NOT NULL AND product_id IS NOT NULL AND quantity > 0 AND item_revenue >= 0
+QUALIFY row_number() OVER (PARTITION BY tenant_id, order_item_id ORDER BY item_revenue DESC, product_id, quantity) = 1""")
 def silver_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [quality.missing("order_id", "null_order_id"), quality.missing("line", "null_item_id"), quality.missing("product_id", "null_product_id"), quality.below("quantity", "bad_quantity", allow_equal=False), quality.below("item_revenue", "bad_revenue")]
-    contract = quality.Contract(rules, ["order_id", "line"], [F.desc("ship_ts")], ["product_id", "supplier_id", "item_revenue"])
-    return contract.split(B.items(spark, sf_dir))[0].select("order_id", "line", "product_id", "quantity", "item_revenue")
+    return quality.items_contract().split(B.tenant_items(spark, sf_dir))[0].select("tenant_id", "order_id", "order_item_id", "product_id", "quantity", "item_revenue")
 
 
-@query("SELECT p_partkey AS product_id, p_name AS product_name, p_brand AS category, p_retailprice AS base_price FROM part WHERE p_partkey IS NOT NULL AND p_brand IS NOT NULL QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY p_retailprice DESC, p_name) = 1")
+@query(f"SELECT * FROM ({B.SQL_TENANT_PRODUCTS}) WHERE tenant_id IS NOT NULL AND category IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tenant_id, product_id ORDER BY base_price DESC, product_name) = 1")
 def silver_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contract = quality.Contract([quality.missing("product_id", "null_product_id"), quality.missing("category", "null_category")], ["product_id"], [F.desc("base_price")], ["product_name"])
-    return contract.split(B.products(spark, sf_dir))[0]
+    return quality.products_contract().split(B.tenant_products(spark, sf_dir))[0]
 
 
 @query(f"WITH {B.SQL_DIRTY} SELECT order_id, customer_id, order_date, total_amount, rejection_reason FROM judged WHERE rejection_reason IS NOT NULL")
@@ -177,7 +198,7 @@ SELECT big.o_orderkey, big.skew_key, f.range AS copy FROM big JOIN keys USING (s
 def salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     big = _hot_orders(spark, sf_dir)
     small = big.select("skew_key").distinct().crossJoin(spark.range(3).withColumnRenamed("id", "copy"))
-    return joins.salted_join(big, small, ["skew_key"], 16, ["o_orderkey"]).select("o_orderkey", "skew_key", "copy")
+    return joins.salted_join(big, small, ["skew_key"], 16, ["o_orderkey"], hot_share=0.05).select("o_orderkey", "skew_key", "copy")
 
 
 @query(f"SELECT {_HOT} AS skew_key, count(*) AS n, count(*) / (SELECT count(*) FROM orders) AS share FROM orders GROUP BY 1")
@@ -314,7 +335,7 @@ def _branded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT a.p_brand AS item_a, b.p_brand AS item_b, count(*) AS co_occurrences FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND a.p_brand < b.p_brand GROUP BY ALL HAVING count(*) >= 2""")
 def affinity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return affinity.affinity(_branded(spark, sf_dir), ["order_id"], "category", [], max_pairs=1e12)
+    return affinity.affinity(_branded(spark, sf_dir), ["order_id"], "category", [])
 
 
 _SIZES = "WITH s AS (SELECT l_orderkey, count(DISTINCT l_partkey) AS k FROM lineitem GROUP BY l_orderkey)"
@@ -431,6 +452,27 @@ def layout_tidy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.agg(F.lit(found.folders).cast("long").alias("folders"), F.lit(found.files).cast("long").alias("files"), F.count("*").alias("n"))
 
 
+@query("SELECT count(DISTINCT s_suppkey) AS folders, count(DISTINCT s_suppkey) AS files, count(*) AS n FROM supplier")
+def layout_high_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout to avoid: a key as partition column gives a folder and a tiny file for each value."""
+    path = scratch(spark, "high-cardinality")
+    written = tables.write_table(B.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), path, ["s_suppkey"], tidy=True)
+    found = layout_of(spark, path)
+    return written.agg(F.lit(found.folders).cast("long").alias("folders"), F.lit(found.files).cast("long").alias("files"), F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS meant, count(*) AS found, true AS same_columns FROM orders")
+def verify_after_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, rows = scratch(spark, "verified"), B.plain_orders(spark, sf_dir)
+    tables.write_table(rows, path)
+    return tables.inline(spark, [tables.verify_written(rows, path)], "meant long, found long, same_columns boolean")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 10")
+def limit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(10)
+
+
 @query("SELECT true AS refused, count(*) AS n FROM nation")
 def static_overwrite_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that would overwrite its own input is refused, and the input survives."""

@@ -41,17 +41,28 @@ def orphans(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
     return child.join(parent.select(*keys), keys, "left_anti")
 
 
-def fill_from(dimension: DataFrame, measures: DataFrame, keys: list[str], zero: list[str], limit: int = 64 << 20) -> DataFrame:
+def fill_from(dimension: DataFrame, measures: DataFrame, keys: list[str], zero: list[str]) -> DataFrame:
     """Every dimension row with its measures; the named ones are 0 where there are none."""
     return dimension.join(measures, keys, "left").na.fill(0, zero)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int, row_key: list[str]) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salts: int, row_key: list[str], hot_share: float | None = None) -> DataFrame:
     """Inner join with the big side's keys spread over `salts` and the small side
     repeated for each of them. The salt is a hash of row_key, so a task that runs
-    again deals the same rows the same way."""
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*row_key), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    again deals the same rows the same way.
+
+    With hot_share, only keys that hold more than this share of the big side's rows (at
+    most 1 / hot_share of them, so they can be broadcast) are spread and repeated.
+    """
+    salt, repeats = F.pmod(F.xxhash64(*row_key), F.lit(salts)).cast("int"), F.sequence(F.lit(0), F.lit(salts - 1))
+    if hot_share is not None:
+        counts = big.groupBy(*keys).agg(F.count("*").alias("_n"))
+        total = counts.agg(F.sum("_n").alias("_total"))
+        hot = counts.crossJoin(F.broadcast(total)).filter(F.col("_n") > F.col("_total") * hot_share).select(*keys, F.lit(True).alias("_hot"))
+        big, small = (x.join(F.broadcast(hot), keys, "left") for x in (big, small))
+        salt, repeats = F.when(F.col("_hot"), salt).otherwise(0), F.when(F.col("_hot"), repeats).otherwise(F.array(F.lit(0)))
+    spread = big.withColumn("_salt", salt).drop("_hot")
+    copies = small.withColumn("_salt", F.explode(repeats)).drop("_hot")
     return spread.join(copies, [*keys, "_salt"]).drop("_salt")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,10 +52,12 @@ def job_description(spark: SparkSession, text: str) -> Iterator[None]:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the space that all executors share (spark.checkpoint.dir;
-    a temporary folder only where the session names none)."""
+    """A new folder name in the space that all executors share, spark.checkpoint.dir.
+    Where the session names none, a temporary folder is made, on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/tidemill/{name}-{uuid.uuid4().hex}"

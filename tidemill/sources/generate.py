@@ -7,8 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Shares of the tenants in percent, and the domains of coded columns.
-TENANT_SHARES = {"mega_001": 60, "mid_001": 10, "mid_002": 10, "mid_003": 5, "mid_004": 5, "small_001": 2, "small_002": 2, "small_003": 2, "small_004": 2, "small_005": 2}
+# The domains of coded columns.
 STATUSES = ["COMPLETE", "COMPLETE", "COMPLETE", "PENDING", "CANCELLED", "RETURNED"]
 CURRENCIES = ["USD", "USD", "USD", "EUR", "GBP"]
 PAYMENTS = ["PAID", "PAID", "PAID", "FAILED", "REFUNDED"]
@@ -26,7 +25,7 @@ def pick(values: list, u: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), (F.floor(u * len(values)) + 1).cast("int"))
 
 
-def pick_weighted(shares: dict[str, int], u: Column) -> Column:
+def pick_weighted(shares: dict[str, float], u: Column) -> Column:
     """A key by cumulative share; the last one takes what rounding leaves."""
     total, below, out = sum(shares.values()), 0, None
     for name, share in list(shares.items())[:-1]:
@@ -35,11 +34,26 @@ def pick_weighted(shares: dict[str, int], u: Column) -> Column:
     return F.lit(list(shares)[-1]) if out is None else out.otherwise(list(shares)[-1])
 
 
-def tenants(spark: SparkSession, shares: dict[str, int] = TENANT_SHARES) -> DataFrame:
-    return spark.createDataFrame([(t, t.replace("_", " ").title(), t.split("_")[0], "2023-01-01") for t in shares], "tenant_id string, tenant_name string, tier string, signup_date string")
+def tenant_shares(count: int = 12, largest: float = 0.6, decay: float = 0.75) -> dict[str, float]:
+    """Tenants of unequal weight: the first has `largest` of all rows, the others share
+    the rest, each with `decay` times as much as the one before."""
+    weights = [decay**k for k in range(count - 1)]
+    shares = [largest, *((1 - largest) * w / sum(weights) for w in weights)] if weights else [1.0]
+    return {f"t_{k:03d}": share for k, share in enumerate(shares)}
 
 
-def customers(spark: SparkSession, n: int, seed: int = 42, shares: dict[str, int] = TENANT_SHARES) -> DataFrame:
+SHARES = tenant_shares()
+
+
+def tier(share: float) -> str:
+    return "large" if share >= 0.25 else "medium" if share >= 0.05 else "small"
+
+
+def tenants(spark: SparkSession, shares: dict[str, float] = SHARES) -> DataFrame:
+    return spark.createDataFrame([(t, f"Tenant {t.removeprefix('t_')}", tier(share), "2023-01-01") for t, share in shares.items()], "tenant_id string, tenant_name string, tier string, signup_date string")
+
+
+def customers(spark: SparkSession, n: int, seed: int = 42, shares: dict[str, float] = SHARES) -> DataFrame:
     i = F.col("id")
     return spark.range(n).select(
         pick_weighted(shares, uniform(seed, "tenant", i)).alias("tenant_id"),
@@ -51,14 +65,14 @@ def customers(spark: SparkSession, n: int, seed: int = 42, shares: dict[str, int
     )
 
 
-def products(spark: SparkSession, per_tenant: int = 200, seed: int = 42, shares: dict[str, int] = TENANT_SHARES, categories: int = 8) -> DataFrame:
+def products(spark: SparkSession, per_tenant: int = 200, seed: int = 42, shares: dict[str, float] = SHARES, categories: int = 8) -> DataFrame:
     """product_id repeats across tenants on purpose: only (tenant_id, product_id) is a key."""
     rows = spark.range(per_tenant).crossJoin(F.broadcast(tenants(spark, shares).select("tenant_id")))
     i, t = F.col("id"), F.col("tenant_id")
     return rows.select(t, F.format_string("p_%04d", i).alias("product_id"), F.format_string("Product %d", i).alias("product_name"), F.format_string("category_%d", F.floor(uniform(seed, "category", t, i) * categories)).alias("category"), F.round(5 + uniform(seed, "price", t, i) * 195, 2).alias("base_price"))
 
 
-def orders(spark: SparkSession, n: int, n_customers: int, seed: int = 42, start: str = "2026-01-01", days: int = 180, shares: dict[str, int] = TENANT_SHARES) -> DataFrame:
+def orders(spark: SparkSession, n: int, n_customers: int, seed: int = 42, start: str = "2026-01-01", days: int = 180, shares: dict[str, float] = SHARES) -> DataFrame:
     """Orders with total = subtotal + 8 % tax + shipping, placed by customers of the
     customers() table with the same seed and count."""
     i = F.col("id")
@@ -101,7 +115,7 @@ def clicks(spark: SparkSession, n: int, start: str = "2026-07-04 12:00:00", span
     i = F.col("id")
     ts = F.timestamp_seconds(F.unix_timestamp(F.lit(start).cast("timestamp")) + F.floor(uniform(seed, "ts", i) * span_seconds).cast("long"))
     return spark.range(n).select(
-        pick_weighted(TENANT_SHARES, uniform(seed, "tenant", i)).alias("tenant_id"), F.format_string("e_%09d", i).alias("event_id"), F.format_string("s_%06d", F.floor(uniform(seed, "session", i) * (n // 5 + 1))).alias("session_id"),
+        pick_weighted(SHARES, uniform(seed, "tenant", i)).alias("tenant_id"), F.format_string("e_%09d", i).alias("event_id"), F.format_string("s_%06d", F.floor(uniform(seed, "session", i) * (n // 5 + 1))).alias("session_id"),
         F.format_string("c_%07d", F.floor(uniform(seed, "customer", i) * 1000)).alias("customer_id"), ts.alias("event_ts"), F.date_format(ts, "yyyy-MM-dd").alias("event_date"), pick(EVENT_TYPES, uniform(seed, "type", i)).alias("event_type"),
         F.format_string("p_%04d", F.floor(uniform(seed, "product", i) * 200)).alias("product_id"), F.format_string("/p/%d", i % 200).alias("page_url"), pick(DEVICES, uniform(seed, "device", i)).alias("device_type"),
     )

@@ -74,15 +74,27 @@ def _same_or_under(path: str, target: str) -> bool:
     return a == b or a.startswith(b + "/")
 
 
+def input_roots(df: DataFrame) -> list[str]:
+    """The folders and files that df reads, as they were named to the readers: a few
+    paths, however many files lie below them."""
+    leaves, roots = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            found = leaf.relation().location().rootPaths()
+            roots += [found.apply(i).toString() for i in range(found.size())]
+    return roots
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite", dynamic: bool = False, tidy: bool = False, max_records: int | None = None, files: int | None = None) -> DataFrame:
     """Write Parquet and return the table read back.
 
     dynamic replaces only the partitions that df has rows for, as an option of this
     write rather than of the session. tidy puts each partition value in one task, so
     one file (or as many as max_records allows). files coalesces. An overwrite whose
-    target is among df's input files is refused before anything is deleted.
+    target is, holds or lies in an input of df is refused before anything is deleted.
     """
-    if mode == "overwrite" and any(_same_or_under(f, path) for f in df.inputFiles()):
+    if mode == "overwrite" and any(_same_or_under(r, path) or _same_or_under(path, r) for r in input_roots(df)):
         raise SelfOverwrite(f"{path} is an input of the table that would overwrite it")
     if tidy and partition_by:
         df = df.repartition(*partition_by)
@@ -99,6 +111,11 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     return df.sparkSession.read.schema(df.schema).parquet(path)  # a partitioned table can be without files
 
 
+def ingest_csv(spark: SparkSession, landing: str, schema: StructType, bronze: str) -> DataFrame:
+    """A landing folder of CSV files, read with an explicit schema and kept as Parquet."""
+    return write_table(read_csv(spark, landing, schema), bronze)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
