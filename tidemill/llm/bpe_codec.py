@@ -71,13 +71,16 @@ class Encoder:
             found = self.known[key] = self._stays_apart(left, right)
         return found
 
-    def _stays_apart(self, left: int, right: int) -> bool:
-        """Whether the border between two symbols stays until both are whole."""
+    def _stays_apart(self, left: int, right: int, halves: bool = False) -> bool:
+        """Whether the border between two symbols stays until both are whole, and after
+        that too unless they are the halves of a token, which then merge."""
         a, b = self.spine(left, 1), self.spine(right, 0)
         i = j = 0
         merge_rank = self.vocab.merge_rank
         while True:
             (x, _, x_ends), (y, _, y_ends) = a[i], b[j]
+            if halves and x_ends == _NEVER and y_ends == _NEVER:
+                return True
             found = merge_rank.get((x, y))
             # of equal pairs in a row the leftmost is merged first
             if found is not None and found[0] < x_ends and found[0] <= y_ends:
@@ -119,7 +122,7 @@ class Encoder:
         found = self.own.get(token)
         if found is None:
             a, b = self.vocab.parts[token].tolist()
-            found = self.own[token] = a < 0 or (self.is_own(a) and self.is_own(b) and self._stays_apart(a, b))
+            found = self.own[token] = a < 0 or (self.is_own(a) and self.is_own(b) and self._stays_apart(a, b, halves=True))
         return found
 
     def solve(self, words: list[str]):
