@@ -35,19 +35,20 @@ class Encoder:
     def __init__(self, path: str, pair_cache: int = 1_000_000):
         vocab = self.vocab = vocabulary(path)
         special = set(vocab.specials.values())
-        self.whole = {b.decode("latin-1"): i for i, b in vocab.token_bytes.items() if i not in special}
-        self.automaton = ahocorasick.Automaton()
-        self.length = np.zeros(max(vocab.token_bytes) + 1, np.int64).tolist()
-        for text, i in self.whole.items():
-            self.automaton.add_word(text, (i, len(text)))
-            self.length[i] = len(text)
-        self.automaton.make_automaton()
         self.rank = {i: _NEVER for i in vocab.token_bytes}
         self.rank |= {new: rank for rank, new in vocab.merge_rank.values()}
         self.known: dict[int, bool] = {}
         self.pair_cache = pair_cache
         self.spines: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         self.own: dict[int, bool] = {}  # one entry per token of the vocabulary
+        # a token whose bytes encode to others can end no prefix
+        self.whole = {b.decode("latin-1"): i for i, b in vocab.token_bytes.items() if i not in special and self.is_own(i)}
+        self.automaton = ahocorasick.Automaton()
+        self.length = np.zeros(max(vocab.token_bytes) + 1, np.int64).tolist()
+        for text, i in self.whole.items():
+            self.automaton.add_word(text, (i, len(text)))
+            self.length[i] = len(text)
+        self.automaton.make_automaton()
 
     def spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """The nodes on one side of a token's merge tree, from its byte up:
@@ -95,7 +96,7 @@ class Encoder:
     def encode(self, word: bytes) -> list[int]:
         """The ids of one pre-token."""
         text = word.decode("latin-1")
-        if (token := self.whole.get(text)) is not None and self.is_own(token):
+        if (token := self.whole.get(text)) is not None:
             return [token]
         last = [-1] * len(text)
         known, compatible = self.known, self.compatible
@@ -104,11 +105,10 @@ class Encoder:
                 continue
             before = end - size
             if before < 0:
-                if self.is_own(token):
-                    last[end] = token
+                last[end] = token
             elif (prior := last[before]) >= 0:
                 fits = known.get(prior << 20 | token)
-                if (compatible(prior, token) if fits is None else fits) and self.is_own(token):
+                if compatible(prior, token) if fits is None else fits:
                     last[end] = token
         out, at = [], len(text) - 1
         while at >= 0:
