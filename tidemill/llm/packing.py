@@ -39,7 +39,8 @@ class Tokenization:
     text (nothing to normalise but its case) is split into pre-tokens here; new ones
     are encoded by the library in one string, where each ends with the only token
     that carries the end-of-word mark. Any other text is encoded by the library word
-    by word, with what normalisation and splitting it does.
+    by word, with what normalisation and splitting it does. The fast calls give the
+    same ids and leave out the offsets, which nothing here reads.
     """
 
     def __init__(self, path: str):
@@ -57,12 +58,12 @@ class Tokenization:
         self.other = PretokenTable(self._single, {}, _WORD.findall, 100_000)
 
     def _single(self, words: list[str]):
-        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return lengths, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
 
     def _joined(self, words: list[str]):
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         last = np.flatnonzero(self.ends[ids])
         if len(last) != len(words):
             return self._single(words)
